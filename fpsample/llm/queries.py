@@ -18,6 +18,45 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.warc import pages_through_warc
+
+    out = pages_through_warc(spark, table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM f
+"""
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.pii import find_pii, span_digests
+
+    return span_digests(find_pii(spark, table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.sentencepieces import decode_ids, encode_texts
+
+    out = decode_ids(spark, encode_texts(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.license_scan import scan_licenses
+
+    return scan_licenses(spark, table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fpsample.llm.line_dedup import dedup_lines
@@ -35,3 +74,40 @@ SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (f.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN f USING (k) GROUP BY doc_id
 """
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.mixing import mix_sources
+
+    out = mix_sources(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "shards")
+
+
+@query
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.media import media_facts
+
+    return media_facts(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.fingerprints import compare_neighbours
+
+    return compare_neighbours(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.language import document_evidence, identify
+
+    out = identify(spark, document_evidence(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "language", "probability", "text_language", "accepted")
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.jaccard import similar_groups
+
+    return similar_groups(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
