@@ -1,6 +1,77 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, source mixing, SentencePiece encoding.
 
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return the
+columns of documents. run() applies them in turn, each stage's result written as Parquet in the shared folder and read again.
+Tables without documents pass through. ``n_chars`` follows the text where a stage changes it.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fpsample.llm.common import prepare, row_key, written
+from fpsample.llm.jaccard import similar_groups
+from fpsample.llm.language import identify
+from fpsample.llm.line_dedup import dedup_lines
+from fpsample.llm.mixing import mix_sources, mixed_rows
+from fpsample.llm.sentencepieces import decode_ids, encode_texts
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_KEY = ["_no_id", "_id", "_text_hash"]
+#: Words of a shingle and similarity in percent for near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is accepted; lang is the language found. Texts null, empty or without letters are rejected, and so are those of no likely language."""
+    prepare(spark)
+    keyed = docs.withColumns(row_key())
+    evidence = keyed.select(*_KEY, "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    found = identify(spark, evidence)
+    kept = found.filter("accepted").select(*_KEY, F.col("language").alias("_language")).dropDuplicates(_KEY)
+    return keyed.join(kept, _KEY).select(*[F.col("_language").alias("lang") if c == "lang" else F.col(c) for c in COLUMNS])
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten documents or more share. Documents left without any line but empty ones stay, empty, as no line's loss says that a document is unclean."""
+    out = dedup_lines(spark, docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8): the least id, ties by text. Documents without words are in no group and stay; rows alike in id and text are one document."""
+    prepare(spark)
+    keyed = docs.withColumns(row_key())
+    groups = similar_groups(spark, docs, NEAR_WORDS, NEAR_PERCENT)
+    rows = written(spark, groups.select(F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_text_hash"), "n_shingles", "group_id"), "near-groups")
+    first = rows.filter("n_shingles > 0").groupBy("group_id").agg(F.min(F.struct(*_KEY)).alias("first")).select("first.*")
+    alone = rows.filter("n_shingles = 0").select(*_KEY)
+    return keyed.join(first.union(alone).distinct(), _KEY).dropDuplicates(_KEY).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target takes it."""
+    return mixed_rows(mix_sources(spark, docs)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's number of ids, their digest, and the digest of what they decode to."""
+    out = decode_ids(spark, encode_texts(spark, docs.select("doc_id", "text")).drop("text"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", keep_identified), ("line_dedup", drop_repeated_lines), ("near_duplicates", keep_one_of_near_copies), ("mixing", mix), ("sentencepiece", encode)]
+
+#: Language models, similarity groups and tokens have no SQL; the stages are tested against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES on documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if k == len(STAGES) - 1 else written(spark, docs, f"pipeline-{name}")
+    return docs

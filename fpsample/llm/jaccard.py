@@ -240,13 +240,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, class_id, component_id) of each row of docs (doc_id, text).
+    """(doc_id, text_hash, n_shingles, class_id, component_id, group_id) of each row of docs (doc_id, text).
 
     Two documents are linked when 100 * overlap >= percent * union of their sets of ``width``-word shingles; component_id is
     the least doc_id reachable by links, class_id the least doc_id of an equal set. Exact but for collisions of 64-bit
     hashes inside one pair. Documents without words have no shingles, are linked with nothing and are their own component.
     Repeated rows and ids are told apart by text; a null id counts for nothing in a minimum, and a component of nulls
-    alone has null. Other columns are not carried; an empty table gives an empty result.
+    alone has null; group_id names the component itself (null without words). Other columns are not carried; an empty table gives an empty result.
     """
     prepare(spark)
     bands = Bands(percent)
@@ -292,7 +292,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 3, percent
     roots = components(spark, links)
     member = written(spark, classes.select("set", "copies", "class_id").join(roots, F.col("set") == F.col("v"), "left").select("set", "copies", "class_id", F.coalesce("root", "set").alias("root")), "jaccard-roots")
     smallest = written(spark, member.groupBy("root").agg(F.count("*").alias("n"), F.min("class_id").alias("component_id")), "jaccard-components")
-    of_class = written(spark, spread_join(member, smallest, "root", "n", F.col("set")).select("set", "copies", "class_id", "component_id"), "jaccard-class-components")
+    of_class = written(spark, spread_join(member, smallest, "root", "n", F.col("set")).select("set", "copies", "class_id", "component_id", "root"), "jaccard-class-components")
     out = spread_join(rows.select("doc_id", "_text_hash", "n", "set"), of_class, "set", "copies", F.struct("doc_id", "_text_hash"))
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("_text_hash").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("_text_hash").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.hex("root").alias("group_id"))
