@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def table_window_samples(events: DataFrame, n: int, width: str = "1 hour", seed: int = 0) -> DataFrame:
     """n events (event_id, ts) of each window with equal chances: those of the least seeded hashes. (start, event_id, rank)."""
-    keyed = events.select("event_id", F.window("ts", width)["start"].alias("start"), F.xxhash64(F.lit(seed), "event_id").alias("_h"))
+    keyed = events.select("event_id", F.window(F.col("ts").cast("timestamp"), width)["start"].alias("start"), F.xxhash64(F.lit(seed), "event_id").alias("_h"))
     ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("_h", "event_id")))
     return ranked.filter(F.col("rank") <= n).select("start", "event_id", "rank")
 
@@ -30,12 +30,13 @@ def stream_window_samples(events: DataFrame, n: int, width: str = "1 hour", late
         for f in frames:
             held = sorted(held + list(zip(f["_h"].tolist(), f["event_id"].tolist(), strict=True)))[:n]
             count += len(f)
-            end = int(f["end"].iloc[0].timestamp() * 1000)
+            end = int(f["end"].iloc[0])
         state.update(([h for h, _ in held], [i for _, i in held], count))
         if end is not None:
             state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
     window = F.window("ts", width)
-    keyed = events.withWatermark("ts", late).select("ts", "event_id", window["start"].alias("start"), window["end"].alias("end"), F.xxhash64(F.lit(seed), "event_id").alias("_h"))
+    timed = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id").withWatermark("ts", late)
+    keyed = timed.select("ts", "event_id", window["start"].alias("start"), F.unix_millis(window["end"]).alias("end"), F.xxhash64(F.lit(seed), "event_id").alias("_h"))
     out = "start timestamp, event_id long, rank int, n_events long"
     return keyed.groupBy("start").applyInPandasWithState(step, out, "h array<long>, ids array<long>, n long", "append", "EventTimeTimeout")
