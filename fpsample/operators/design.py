@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fpsample.functions.nano import ONE, validate
-from fpsample.plans.recipes import next_value, points_in_intervals
+from fpsample.plans.recipes import cut, next_value, points_in_intervals, running_sum
 
 COLUMNS = ("design_id", "seq", "prob_nano", "ids")
 
@@ -46,8 +46,6 @@ class Design:
     @classmethod
     def from_population(cls, units: DataFrame, check: bool = True) -> Design:
         """The initial, systematic design of units (unit_id, pi_nano, and lo_nano, hi_nano if they stand already)."""
-        from fpsample.plans.recipes import running_sum
-
         if check:
             validate(units)
         if "hi_nano" not in units.columns:
@@ -68,8 +66,9 @@ class Design:
     def pull(self, count: int = 1, random: bool = False, seed: int = 0) -> tuple[DataFrame, Design]:
         """(the ``count`` most probable samples of each design, or seeded random ones; the rest)."""
         by = [F.xxhash64(F.lit(seed), "seq", "ids")] if random else [F.desc("prob_nano"), F.col("ids")]
-        ranked = self.samples.withColumn("_r", F.row_number().over(Window.partitionBy("design_id").orderBy(*by, "seq")))
-        return ranked.filter(F.col("_r") <= count).withColumnRenamed("_r", "rank"), Design(ranked.filter(F.col("_r") > count), self.changes)
+        ranked = self.samples.withColumn("rank", F.row_number().over(Window.partitionBy("design_id").orderBy(*by, "seq")))
+        top = ranked.filter(F.col("rank") <= count)  # each task keeps its own first rows before they meet
+        return top, Design(self.samples.exceptAll(top.drop("rank")), self.changes)
 
     def merge_identical(self) -> Design:
         """One sample for each set of ids, probabilities summed."""
@@ -78,7 +77,7 @@ class Design:
 
     def iterate(self, coefficient: float = 0.5, random_pull: bool = False, seed: int | None = None) -> Design:
         """One change: the two pulled samples are merged if they are equal, else switched. Designs of fewer than two samples stay as they are."""
-        top, rest = self.pull(2, random_pull, seed or 0)
+        top, rest = Design(cut(self.samples), self.changes).pull(2, random_pull, seed or 0)
         pair = top.groupBy("design_id").agg(*[F.max(F.when(F.col("rank") == r, F.struct("prob_nano", "ids"))).alias(f"s{r}") for r in (1, 2)])
         kept = pair.filter("s2 is null").select("design_id", "s1.prob_nano", "s1.ids")
         changed = switch(pair.filter("s2 is not null"), coefficient, seed)
@@ -98,9 +97,7 @@ class Design:
 
     def bars(self) -> DataFrame:
         """Plot data: each unit's segment [y0, y1) for each sample, samples stacked in order."""
-        order = Window.partitionBy("design_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        level = F.sum("prob_nano").over(order)
-        stacked = self.samples.select("design_id", "ids", (level - F.col("prob_nano")).alias("y0"), level.alias("y1"))
+        stacked = running_sum(self.samples, ["seq"], "prob_nano", "y1", on=["design_id"]).withColumn("y0", F.col("y1") - F.col("prob_nano"))
         return stacked.select("design_id", F.explode("ids").alias("unit_id"), "y0", "y1")
 
     def signature(self) -> DataFrame:

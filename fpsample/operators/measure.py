@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fpsample.functions import kernels as K
 from fpsample.operators.clustering import AggregateBalancedKMeans
-from fpsample.plans.recipes import cell_neighbours
+from fpsample.plans.recipes import cell_neighbours, cut
 
 #: Score of a shift by an eighth turn, and variation at the same (fixed values).
 LIMIT, VARIATION = math.sin(math.pi / 8) / math.sin(math.pi / 4), 1 - math.cos(math.pi / 8)
@@ -77,7 +77,7 @@ class Density:
         self.k = k
         member = AggregateBalancedKMeans(k, tolerance=tolerance, seed=seed).fit(units, self.coords, ["pi"])
         label = member.groupBy("unit_id").agg(F.max_by("cluster_id", F.struct("frac", -F.col("cluster_id"))).alias("cluster_id"))
-        self.units = units.join(label, "unit_id").select("unit_id", "cluster_id", *self.coords).checkpoint()
+        self.units = cut(units.join(label, "unit_id").select("unit_id", "cluster_id", *self.coords))
         self.centres = self.units.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in self.coords])
         self.radius = scott(self.units.count(), len(self.coords))
         self.original = tophat_counts(self.units, self.coords, self.radius)

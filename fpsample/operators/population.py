@@ -18,15 +18,9 @@ def sweep(units: DataFrame, group: list[str], order: list[str], mass: str, parts
     """Cuts each group's ordered units into ``parts`` zones of equal mass (BIGINT; zone i ends at total * (i + 1) div parts): (units' columns, zone, with ``mass`` the part inside).
 
     Each unit's cumulative interval meets the zones that it overlaps by arithmetic on zone numbers, so no join is needed;
-    half-open intervals give a border to the later zone. Groups are window partitions; without groups the running sum is
-    the two-phase one.
+    half-open intervals give a border to the later zone. The running sum is the two-phase one, so a group may be of any size.
     """
-    if group:
-        w = Window.partitionBy(*group)
-        run = F.sum(mass).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        c = units.withColumns({"_hi": run, "_t": F.sum(mass).over(w)})
-    else:
-        c = running_sum(units, order, mass, "_hi", "_t")
+    c = running_sum(units, order, mass, "_hi", "_t", group)
     c = c.filter(F.col(mass) > 0).withColumn("_lo", F.col("_hi") - F.col(mass))
     bound = lambda i: F.call_function("div", i * F.col("_t"), F.lit(parts)).cast("bigint")
     # the zone of position p is the greatest i with i * total div parts <= p

@@ -28,20 +28,27 @@ def bucket_of(key: str | Column, bounds: list) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key))
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, out: str, total: str | None = None) -> DataFrame:
-    """df with the sum of ``value`` up to and including each row in the order of ``order`` (first key numeric, all together unique).
+def running_sum(df: DataFrame, order: list[str], value: str, out: str, total: str | None = None, on: list[str] | None = None) -> DataFrame:
+    """df with the sum of ``value`` up to and including each row in the order of ``order`` (first key numeric, all together unique), within equal ``on``.
 
-    Two phases: sums per bucket, their running sum over at most MOST_BUCKETS rows, broadcast; then windows inside buckets.
+    Two phases: sums per bucket of the order (and ``on``), their running sum, at most MOST_BUCKETS rows a group; then
+    windows inside buckets. So neither all rows nor a hot group's rows meet in one task. Small tables take one window.
     ``total`` names a column for the sum of all.
     """
+    on = on or []
     bounds = order_bounds(df, order[0])
-    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if on and not bounds:
+        whole = Window.partitionBy(*on)
+        got = df.withColumn(out, F.sum(value).over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        return got.withColumn(total, F.sum(value).over(whole)) if total else got
+    inside = Window.partitionBy(*on, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_b", bucket_of(order[0], bounds))
-    sums = df.groupBy("_b").agg(F.sum(value).alias("_v"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = sums.select("_b", (F.sum("_v").over(before) - F.col("_v")).alias("_before"), F.sum("_v").over(every).alias("_total"))
-    got = df.join(F.broadcast(sums), "_b").withColumn(out, F.sum(value).over(inside) + F.col("_before"))
+    sums = df.groupBy(*on, "_b").agg(F.sum(value).alias("_v"))
+    steps = Window.partitionBy(*on).orderBy("_b") if on else Window.orderBy("_b")
+    before = F.sum("_v").over(steps.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
+    every = F.sum("_v").over(steps.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    sums = sums.select(*on, "_b", before.alias("_before"), every.alias("_total"))
+    got = df.join(sums if on else F.broadcast(sums), [*on, "_b"]).withColumn(out, F.sum(value).over(inside) + F.col("_before"))
     return (got.withColumn(total, F.col("_total")) if total else got).drop("_b", "_before", "_total")
 
 
@@ -104,10 +111,15 @@ def cell_neighbours(a: DataFrame, b: DataFrame, coords: list[str], radius: float
     return left.join(right, keys).withColumn("d2", d2).filter(F.col("d2") < radius * radius).drop(*(f"_c{i}" for i in range(len(coords))))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, for plans that read it again and again: checkpointed where a checkpoint folder is set, which cuts the lineage, else persisted."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def iterate_until(df: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], bool], most: int = 1000) -> DataFrame:
-    """Applies step until done, ``most`` times at most; each state is checkpointed in the shared folder, so lineage stays short and lost executors cost one step."""
+    """Applies step until done, ``most`` times at most; each state is cut, so lineage stays short and lost executors cost one step."""
     for _ in range(most):
-        df = df.checkpoint()
+        df = cut(df)
         if done(df):
             break
         df = step(df)

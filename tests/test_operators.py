@@ -290,6 +290,8 @@ def test_two_phase_sums_and_lookups(spark, small_buckets):
     want = dict(zip([k for k, _ in order], np.cumsum([v for _, v in order]).tolist(), strict=True))
     got = recipes.running_sum(df, ["k"], "v", "s", "t").collect()
     assert {x.k: x.s for x in got} == want and {x.t for x in got} == {sum(v for _, v in rows)}
+    halves = recipes.running_sum(df.withColumn("g", F.col("k") % 2), ["k"], "v", "s", "t", on=["g"]).collect()
+    assert all(x.s == sum(v for k, v in rows if k % 2 == x.g and k <= x.k) and x.t == sum(v for k, v in rows if k % 2 == x.g) for x in halves) and len(halves) == 700
     nxt = dict(zip([k for k, _ in order], [k for k, _ in order][1:] + [9999], strict=True))
     assert {x.k: x.n for x in recipes.next_value(df.select("k"), "k", "n", F.lit(9999)).collect()} == nxt
     q = spark.createDataFrame([(i, int(k)) for i, k in enumerate(r.integers(-50, 3100, 400))], "id long, k long")
