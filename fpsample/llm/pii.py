@@ -94,18 +94,20 @@ def _glyphs() -> dict[str, str]:
 GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOT_WORD = rf"(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s+dot\s+)"
+# White space is entered at the start of its run alone and taken whole, so long runs cost no more than their length.
+_BEFORE, _AFTER = r"(?:(?<!\s)\s++)", r"\s*+"
+_DOT_WORD = rf"(?:{_BEFORE}?{_OPEN}{_AFTER}(?:dot|\.){_AFTER}{_CLOSE}{_AFTER}|{_BEFORE}dot\s++)"
 #: Top-level domains that a bare "at ... dot ..." has to end with, to tell it from prose (fixed values).
 _TOP = "(?:com|org|net|edu|gov|info|biz|io|dev|uk|de|fr|es|it|nl|be|ch|at|eu|us|ca|au|jp|in|br|example|test)"
 #: One pass over a text without look-alikes: at and dot in brackets; bare "at" only before a domain that has a disguised dot; bare "dot" between parts; two or more digits in words.
 _DISGUISE = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|(?<=[a-z0-9_%+.-])\s+at\s+(?=[a-z0-9-]+(?:{_DOT_WORD}[a-z0-9-]+)*?{_DOT_WORD}{_TOP}\b)|\s+@\s*(?=[a-z0-9])|@\s+(?=[a-z0-9-]+{_DOT_WORD}{_TOP}\b))"
+    rf"(?P<at>{_BEFORE}?{_OPEN}{_AFTER}(?:at|@){_AFTER}{_CLOSE}{_AFTER}|(?<=[a-z0-9_%+.-])\s++at\s++(?=[a-z0-9-]++(?:{_DOT_WORD}[a-z0-9-]++)*?{_DOT_WORD}{_TOP}\b)|{_BEFORE}@{_AFTER}(?=[a-z0-9])|@\s++(?=[a-z0-9-]++{_DOT_WORD}{_TOP}\b))"
     rf"|(?P<dot>{_DOT_WORD}(?=[a-z0-9]))"
-    rf"|(?P<digits>\b{_DIGIT_WORD}(?:[\s.-]+(?:{_DIGIT_WORD}|[0-9])\b)+)",
+    rf"|(?P<digits>\b{_DIGIT_WORD}(?:[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b)+)",
     re.IGNORECASE,
 )
 #: What a text without any disguise lacks; most texts are done after this.
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\sdot\s|\s@|@\s|\b{_DIGIT_WORD}[\s.-]+(?:{_DIGIT_WORD}|[0-9])\b", re.IGNORECASE)
+_HINT = re.compile(rf"{_OPEN}{_AFTER}(?:at|@|dot|\.){_AFTER}{_CLOSE}|\sdot\s|\s@|@\s|\b{_DIGIT_WORD}[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b", re.IGNORECASE)
 _PART = re.compile(rf"{_DIGIT_WORD}|[0-9]", re.IGNORECASE)
 
 

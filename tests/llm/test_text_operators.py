@@ -57,6 +57,16 @@ def test_plain_prose_has_no_disguised_spans(documents):
         assert all(any(c in t for c in "@+0123456789") or s is None for s in pii.disguised_spans(t, pii.plain_spans(t))), t
 
 
+def test_long_runs_take_linear_time():
+    import time
+
+    n = 200_000
+    began = time.time()
+    for t in (" " * n, "\n" * n + "x", "a " * n, "(" * n, "( " * n, "1" * n, "1 " * n, "+1" + " " * n, "a@" * n, "one " * n, "x dot " * (n // 10), "a.b-" * n, "1." * n, "@ " * n, "+1(" * n):
+        pii.disguised_spans(t + " (at) b", pii.plain_spans(t))
+    assert time.time() - began < 60
+
+
 def test_find_pii_odd_rows(spark, odd, none):
     rows = pii.find_pii(spark, odd).collect()
     assert len(rows) == odd.count() and pii.find_pii(spark, none).count() == 0
