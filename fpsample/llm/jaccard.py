@@ -28,8 +28,10 @@ from fpsample.llm.common import prepare, row_key, sized_broadcast, spread_join,
 MOST_BROADCAST = 300_000
 #: Fragments by which overlaps are counted.
 VERTICAL = 8
-#: Size bands grow by this; signatures that may be empty besides those the bound needs.
+#: Size bands grow by this; fragments besides those the bound needs.
 BAND, SPARE = 1.5, 2
+#: Signatures that a task gathers before it gives them out; bits of the map of repeated ones, 32 MB at most, and of one block of it.
+GATHERED, MOST_BITS, BLOCK_BITS = 1 << 21, 28, 20
 #: Distinct words that a task keeps the hashes of.
 MOST_WORDS = 1 << 20
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -86,28 +88,32 @@ class Bands:
         own = int(np.searchsorted(self.edges, size, "right")) - 1
         return [own, own + 1] if 100 * size >= self.percent * self.edges[own + 1] else [own]
 
-    def fragments(self, level: int) -> tuple[int, int]:
-        """Fragments at a level, and how many a set may leave empty without signing empty ones."""
+    def fragments(self, level: int) -> int:
+        """Fragments at a level: more than any pair there can differ in, and some to spare, so that few sets have to sign empty ones."""
         most = self.differences(self.edges[level + 1] - 1)
-        spare = SPARE + most // 20
-        return most + 1 + spare, spare
+        return most + 1 + SPARE + most // 20
 
 
 def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """One hash for each fragment, of its level, place and shingles. Two linked sets agree on F - D fragments or more of a level with F = D + 1 + spare, so on a filled one unless both leave more than spare empty: these sign their empty ones too."""
+    """One hash for each filled fragment, of its level, place and shingles.
+
+    Two linked sets agree on F - D fragments of a level or more, F > D. If all of these are empty, either set's filled
+    fragments all differ, so they are no more than the differences that its size allows: such sets, which are rare, sign
+    their empty fragments too.
+    """
     n = len(hashes)
     if n == 0 or bands.differences(n) == 0 and bands.differences(int(n * 100 / bands.percent) + 1) == 0:
         return np.empty(0, np.uint64)  # linked with equal sets alone
     out = []
     mixed = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
     for level in bands.levels(n):
-        f, spare = bands.fragments(level)
+        f = bands.fragments(level)
         place = ((hashes >> np.uint64(32)) * np.uint64(f)) >> np.uint64(32)
         at, first = np.unique(place, return_index=True)
         sums = np.add.reduceat(mixed, first)
         base = np.uint64(level << 40)
         out.append(mix(sums + mix(at + base)))
-        if f - len(at) > spare:
+        if len(at) <= bands.differences(n):
             empty = np.setdiff1d(np.arange(f, dtype=np.uint64), at)
             out.append(mix(mix(empty + base) ^ np.uint64(0x2545F4914F6CDD1D)))
     return np.concatenate(out)
@@ -131,6 +137,82 @@ def sign(width: int, bands: Bands):
     return run
 
 
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's signatures as sorted arrays by their leading 8 bits, each signature once, or twice if it is there more often: eight bytes a signature, and a hot one costs a task sixteen."""
+    edges = np.arange(257, dtype=object) * (1 << 56)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        every = np.repeat(found, np.minimum(n, 2))
+        cut = [0, *np.searchsorted(every, np.array(edges[1:256], np.uint64)).tolist(), len(every)]
+        parts = [(b, every[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "sigs"])
+
+    for b in batches:
+        held.append(b.column("sigs").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        size += len(held[-1])
+        if size > GATHERED:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures that are in the partition's arrays more than once."""
+    held = [np.frombuffer(x, np.uint64) for b in batches for x in b.column("sigs").to_pylist()]
+    if held:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64))], ["sig"])
+
+
+def _bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column("sig").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            for block in np.unique(at >> np.uint64(BLOCK_BITS)).tolist():
+                inside = (at[at >> np.uint64(BLOCK_BITS) == block] & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+                held = blocks.setdefault(block, np.zeros(1 << BLOCK_BITS, bool))
+                held[inside] = True
+        packed = [(k, np.packbits(v).tobytes()) for k, v in blocks.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), pa.array([v for _, v in packed], pa.binary())], ["block", "bits"])
+
+    return run
+
+
+def _held_signatures(spark: SparkSession, signed: DataFrame) -> DataFrame:
+    """(set, sig) rows of signed (set, sigs) whose signature another row may share.
+
+    Repeated signatures are found from packed arrays, a map of their leading bits (at most 2**MOST_BITS bits, 32 MB, however
+    many there are) goes to every task, and signatures outside it stay where they are. The map lets through all repeated
+    signatures and, by chance, a few others, which the exact grouping drops.
+    """
+    repeated = signed.select("sigs").mapInArrow(_blobs, "bucket int, sigs binary").repartition("bucket").mapInArrow(_repeated, "sig long")
+    repeated = written(spark, repeated, "jaccard-repeated")
+    bits = min(MOST_BITS, max(BLOCK_BITS, (16 * repeated.count()).bit_length()))
+    block = F.shiftrightunsigned("sig", 64 - bits + BLOCK_BITS).alias("block") if bits > BLOCK_BITS else F.lit(0).alias("block")
+    blocks = repeated.select("sig", block).repartition("block").select("sig").mapInArrow(_bits(bits), "block int, bits binary").collect()
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for r in blocks:
+        table[r.block << (BLOCK_BITS - 3) : (r.block + 1) << (BLOCK_BITS - 3)] |= np.frombuffer(r.bits, np.uint8)
+    sent = spark.sparkContext.broadcast(table)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            lists = b.column("sigs")
+            sigs = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            at = sigs.view(np.uint64) >> np.uint64(64 - bits)
+            hit = (known[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+            yield pa.RecordBatch.from_arrays([b.column("set").take(pa.array(owner[hit])), pa.array(sigs[hit])], ["set", "sig"])
+
+    return signed.select("set", "sigs").mapInArrow(held, "set binary, sig long").distinct()
+
+
 def fragments(width: int):
     """(set, fragment, hashes) rows of texts, VERTICAL a text."""
 
@@ -257,10 +339,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 3, percent
     classes = rows.filter("n > 0").groupBy("set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min(F.struct(*key)).alias("row"))
     classes = written(spark, classes, "jaccard-classes")
 
-    # one row a class signs: the least
-    firsts = rows.filter("n > 0").join(classes.select("set", "row"), (rows["_no_id"] == F.col("row._no_id")) & (rows["_id"] == F.col("row._id")) & (rows["_text_hash"] == F.col("row._text_hash"))).select(rows["set"], "sigs")
-    signed = firsts.select("set", F.explode(F.array_distinct("sigs")).alias("sig"))
-    groups = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min("set").alias("least"), F.max("set").alias("most")).filter("least <> most").select("sig", "n", F.lit(True).alias("group"))
+    # one row a class signs, the least: the other copies' keys go to the rows, so that signatures stay in place
+    found = spread_join(rows.filter("n > 0").select(*key, "set"), classes.select("set", "copies", "row"), "set", "copies", F.struct(*key))
+    copies = written(spark, found.filter(F.struct(*key) != F.col("row")).select(*key).distinct(), "jaccard-copies")
+    signed = rows.filter("n > 0 and size(sigs) > 0").join(sized_broadcast(copies, MOST_BROADCAST), key, "left_anti").select("set", "sigs")
+    signed = written(spark, _held_signatures(spark, signed), "jaccard-signatures")
+    groups = signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig", "n", F.lit(True).alias("group"))
     groups = written(spark, groups, "jaccard-groups")
     held = spread_join(signed, groups, "sig", "n", F.col("set")).filter("group")
     held = written(spark, held.select("set", "sig"), "jaccard-members")
