@@ -26,6 +26,8 @@ from fpsample.llm.common import prepare, row_key, sized_broadcast, spread_join,
 
 #: Ids of texts to read again that are broadcast at most (some 12 MB); beyond these the join shuffles.
 MOST_BROADCAST = 300_000
+#: Bytes of representatives' shingles that are broadcast at most.
+MOST_BYTES = 48 << 20
 #: Fragments by which overlaps are counted.
 VERTICAL = 8
 #: Size bands grow by this; fragments besides those the bound needs.
@@ -358,13 +360,18 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 3, percent
     # Fragments of the classes in any pair, from one row each; texts of other documents are read but not shuffled.
     involved = pairs.select(F.col("x").alias("set")).union(pairs.select("r")).distinct()
     wanted = classes.join(involved, "set", "left_semi").select("row.*")
-    wanted = sized_broadcast(written(spark, wanted, "jaccard-wanted"), MOST_BROADCAST)
-    parts = written(spark, body.join(wanted, key, "left_semi").select("text").mapInArrow(fragments(width), "set binary, fragment int, hashes array<long>"), "jaccard-fragments")
-    parts = parts.dropDuplicates(["set", "fragment"])  # rows repeated whole
+    wanted = written(spark, wanted, "jaccard-wanted")
+    again = rows.drop("sigs").join(sized_broadcast(wanted, MOST_BROADCAST), key, "left_semi").count() > wanted.count()
+    parts = body.join(sized_broadcast(wanted, MOST_BROADCAST), key, "left_semi").select("text").mapInArrow(fragments(width), "set binary, fragment int, hashes array<long>")
+    parts = written(spark, parts, "jaccard-fragments")
+    parts = parts.dropDuplicates(["set", "fragment"]) if again else parts  # rows repeated whole
     place = lambda s: F.concat(F.col(s), F.encode(F.col("fragment").cast("string"), "UTF-8"))
     own = pairs.join(parts, pairs["x"] == parts["set"]).select("x", "r", "fragment", F.col("hashes").alias("hx"), place("r").alias("place"))
     theirs = pairs.groupBy("r").agg(F.count("*").alias("n")).join(parts, F.col("r") == parts["set"]).select(place("r").alias("place"), "n", F.col("hashes").alias("hr"))
-    met = spread_join(own, written(spark, theirs, "jaccard-representative-fragments"), "place", "n", F.col("x"))
+    theirs = written(spark, theirs, "jaccard-representative-fragments")
+    # Representatives of few bytes, counted first, go to the members, which then stay where they are; else both meet by hash.
+    few = (theirs.agg(F.sum(F.size("hr") * 8 + 64)).first()[0] or 0) <= MOST_BYTES
+    met = own.join(F.broadcast(theirs.drop("n")), "place") if few else spread_join(own, theirs, "place", "n", F.col("x"))
     # Partial overlaps by fragment, then their sums per pair.
     partial = met.select("x", "r", F.size("hx").alias("nx"), F.size("hr").alias("nr"), F.size(F.array_intersect("hx", "hr")).alias("overlap"), F.array_except("hx", "hr").alias("added"), F.array_except("hr", "hx").alias("missing"))
     deltas = partial.groupBy("x", "r").agg(F.sum("nx").alias("nx"), F.sum("nr").alias("nr"), F.sum("overlap").alias("overlap"), F.flatten(F.collect_list("added")).alias("added"), F.flatten(F.collect_list("missing")).alias("missing"))
