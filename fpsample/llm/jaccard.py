@@ -237,6 +237,8 @@ def fragments(width: int):
 
 #: Members of a family whose differences tell which shingles are common in it.
 SAMPLES = 5
+#: Members from which a family is large.
+LARGE_FAMILY = 16
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +279,14 @@ def _prefixes(percent: int):
 def _family_links(spark: SparkSession, deltas: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one family, at least one of which is not linked with its representative."""
     p, q = 100 + percent, 100 - percent
-    samples = F.array(*[F.min_by("delta", F.xxhash64("x", F.lit(i))) for i in range(SAMPLES)]).alias("samples")
-    families = deltas.groupBy("r").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all_linked"), samples).filter("n > 1 and not all_linked")
-    families = written(spark, families.select("r", "n", "samples").mapInArrow(_common, "r binary, n long, common array<long>"), "jaccard-families")
+    chosen = F.array_distinct(F.array(*[F.min_by("x", F.xxhash64("x", F.lit(i))) for i in range(SAMPLES)])).alias("chosen")
+    stats = deltas.groupBy("r").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all_linked"), chosen).filter("n > 1 and not all_linked")
+    stats = written(spark, stats.select("r", "n", "chosen"), "jaccard-family-sizes")
+    # only large families need to know what is common in them, and of these only the chosen members' differences move
+    few = stats.filter(F.col("n") >= LARGE_FAMILY).select("r", "n", F.explode("chosen").alias("x")).join(deltas.select("r", "x", "delta"), ["r", "x"])
+    common = few.groupBy("r", "n").agg(F.collect_list("delta").alias("samples")).mapInArrow(_common, "r binary, n long, common array<long>")
+    families = stats.select("r", "n").join(common.select("r", "common"), "r", "left").select("r", "n", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
+    families = written(spark, families, "jaccard-families")
     members = spread_join(deltas, families, "r", "n", F.col("x")).filter("common is not null")
     pre = members.mapInArrow(_prefixes(percent), "token long, x binary, r binary, at int, d int, nx long, linked boolean")
     pre = written(spark, pre, "jaccard-prefixes")
