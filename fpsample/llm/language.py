@@ -1,6 +1,8 @@
 """Language identification by Bayesian fusion of text, declared markup language, address suffix and host priors.
 
-Text: naive Bayes over hashed character trigrams, trained here on the rows that declare a language. Declared language and
+Text: naive Bayes over hashed character trigrams, trained here on the rows that declare a language: every declared value that
+has the form of a language tag and texts with letters is a language. A background model, half the mean of the languages and
+half even, stands for none of them and takes texts whose trigrams no one language explains. Declared language and
 address suffix: confusion counts of each declared value against what the texts say. Hosts: the share of languages among a
 host's rows, smoothed towards its domain, this towards its suffix, this towards all rows, each by grouped aggregation. The
 sources are taken as independent given the language, so their log likelihoods add.
@@ -8,6 +10,7 @@ sources are taken as independent given the language, so their log likelihoods ad
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,9 +21,15 @@ from pyspark.sql import functions as F
 
 from fpsample.llm.common import boxed, prepare, spread_join, unboxed, written
 
-LANGUAGES = ("de", "en", "es", "fr")
-#: Hashed trigrams; additive smoothing of their counts.
-BUCKETS, SMOOTHING = 1 << 14, 0.5
+#: None of the trained languages (ISO 639's code for undetermined), and the declared values that name no language.
+UNKNOWN, NO_LANGUAGE = "und", ("und", "mul", "mis", "zxx")
+_TAG = re.compile("[a-z]{2,8}")
+#: Hashed trigrams; additive smoothing of their counts; the most of a language's mass that smoothing takes (less than the
+#: background's even half, so that a language of few texts is no background itself).
+BUCKETS, SMOOTHING, MOST_SMOOTHED, EVEN = 1 << 14, 0.5, 0.25, 0.5
+#: Log odds by which a text has to speak for the background before it counts as of no trained language: names, addresses and
+#: other short texts fit no model well and are left to the other evidence.
+HANDICAP = 14.0
 #: Rows that a level's prior counts as; share of a text's trigrams that count as independent, and most of them.
 STRENGTH, INDEPENDENT, MOST_TRIGRAMS = 8.0, 0.25, 200.0
 #: Least probability of the language at which a document is accepted.
@@ -46,33 +55,38 @@ def host_levels(host: Column) -> list[Column]:
     return [host, F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)]
 
 
-def _count(languages: tuple[str, ...]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((len(languages), BUCKETS), np.int64)
-        index = {k: i for i, k in enumerate(languages)}
-        for b in batches:
-            for text, k in zip(b.column("text").to_pylist(), b.column("declared").to_pylist(), strict=True):
-                if text and k in index:
-                    for t in trigrams(text):
-                        held[index[k]] += np.bincount(t, minlength=BUCKETS)
-        i, t = np.nonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(held[i, t])], ["language", "bucket", "n"])
-
-    return count
-
-
-def train(spark: SparkSession, rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """(BUCKETS, languages) log probabilities from all rows whose ``declared`` is one of languages. Each task gives at most BUCKETS counts a language; so does the driver get."""
-    counted = prepare(spark) and rows.select("text", "declared").mapInArrow(_count(languages), "language int, bucket int, n long")
-    held = np.full((BUCKETS, len(languages)), SMOOTHING)
-    for r in counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).collect():
-        held[r.bucket, r.language] += r.n
-    return np.log(held / held.sum(axis=0))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, np.ndarray] = {}
+    for b in batches:
+        for text, k in zip(b.column("text").to_pylist(), b.column("declared").to_pylist(), strict=True):
+            if text and k and _TAG.fullmatch(k) and k not in NO_LANGUAGE:
+                for t in trigrams(text):
+                    if k not in held:
+                        held[k] = np.zeros(BUCKETS, np.int64)
+                    held[k] += np.bincount(t, minlength=BUCKETS)
+    for k, n in held.items():
+        t = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(t), pa.string()), pa.array(t.astype(np.int32)), pa.array(n[t])], ["language", "bucket", "n"])
+
+
+def train(spark: SparkSession, rows: DataFrame) -> tuple[tuple[str, ...], np.ndarray]:
+    """The languages that rows declare, UNKNOWN last, and (BUCKETS, languages) log probabilities. Each task gives at most BUCKETS counts a language; so does the driver get."""
+    counted = prepare(spark) and rows.filter("declared is not null").select("text", "declared").mapInArrow(_count, "language string, bucket int, n long")
+    found = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages, column = np.unique(np.array(found.column("language").to_pylist(), str), return_inverse=True)
+    held = np.zeros((BUCKETS, len(languages)))
+    held[found.column("bucket").to_numpy(), column] = found.column("n").to_numpy()
+    total = held.sum(axis=0)
+    smoothed = np.minimum(SMOOTHING * BUCKETS / (total + SMOOTHING * BUCKETS), MOST_SMOOTHED)
+    held = held / total * (1 - smoothed) + smoothed / BUCKETS
+    background = EVEN / BUCKETS + (1 - EVEN) * (held.mean(axis=1, keepdims=True) if len(languages) else np.full((BUCKETS, 1), 1 / BUCKETS))
+    return (*languages.tolist(), UNKNOWN), np.log(np.hstack([held, background]))
 
 
 def _score(model: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.astype(np.float32)
+        handicap = np.where(np.arange(model.shape[1]) < model.shape[1] - 1, 0.0, HANDICAP)
         for b in batches:
             scores, counts = [], []
             for text in b.column("text").to_pylist():
@@ -81,7 +95,7 @@ def _score(model: np.ndarray):
                     total += table[t].sum(axis=0, dtype=np.float64)
                     n += len(t)
                 # trigrams overlap and repeat: n of them weigh as INDEPENDENT * n, MOST_TRIGRAMS at most
-                scores.append((total * (min(INDEPENDENT * n, MOST_TRIGRAMS) / n) if n > 1 else np.zeros_like(total)).tolist())
+                scores.append((total * (min(INDEPENDENT * n, MOST_TRIGRAMS) / n) - handicap if n > 1 else np.zeros_like(total)).tolist())
                 counts.append(n if n > 1 else 0)
             keep = [b.column(c) for c in b.schema.names if c != "text"]
             names = [c for c in b.schema.names if c != "text"]
@@ -102,20 +116,21 @@ def _argmax(probs: Column, languages: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in languages]), F.array_position(probs, F.array_max(probs)).cast("int"))
 
 
-def identify(spark: SparkSession, rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT) -> DataFrame:
+def identify(spark: SparkSession, rows: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """rows (any columns; of them text, declared, suffix and host, strings that may be null or missing, are evidence) with
     ``language``, ``probability``, ``text_language``, ``n_trigrams`` and ``accepted``; the evidence columns go, others stay.
 
-    A row is accepted if its probability is at least ``accept`` and its text has letters. Null, empty or letterless texts
-    have no text evidence: ``text_language`` is null, the other evidence still decides ``language``, and the row is not
-    accepted. Without any evidence the language is the most common one. Repeated rows each count; an empty table gives an
+    The languages are those that rows declare, and UNKNOWN, which is none of them. A row is accepted if its language is not
+    UNKNOWN, its probability is at least ``accept`` and its text has letters. Null, empty or letterless texts have no text
+    evidence: ``text_language`` is null, the other evidence still decides ``language``, and the row is not accepted.
+    Without any evidence the language is the most common one, UNKNOWN where no row declares any. Repeated rows each count; an empty table gives an
     empty result. Scores of documents stay in a table of the shared folder; texts are never shuffled.
     """
     evidence = ("text", "declared", "suffix", "host")
-    k = len(languages)
     others = [c for c in rows.columns if c not in (*evidence, "language", "probability", "text_language", "n_trigrams", "accepted")]
     body = rows.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)], *[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in evidence])
-    model = train(spark, body, languages)
+    languages, model = train(spark, body)
+    k = len(languages)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in body.schema if f.name != "text")
     scored = body.mapInArrow(_score(model), kinds + ", log_text array<double>, trigrams long")
     domain, top = host_levels(F.col("host"))[1:]
@@ -155,7 +170,7 @@ def identify(spark: SparkSession, rows: DataFrame, languages: tuple[str, ...] =
         logs = F.zip_with(logs, F.col(f"_log_{column}"), lambda a, b: a + b)
     out = out.withColumn("_logs", F.zip_with(logs, F.col("log_text"), lambda a, b: a + b)).withColumn("_p", _normal(F.col("_logs"), k))
     best = F.array_max("_p")
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(others)], _argmax(F.col("_p"), languages).alias("language"), best.alias("probability"), "text_language", F.col("trigrams").alias("n_trigrams"), ((best >= accept) & (F.col("trigrams") > 0)).alias("accepted"))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(others)], _argmax(F.col("_p"), languages).alias("language"), best.alias("probability"), "text_language", F.col("trigrams").alias("n_trigrams"), ((best >= accept) & (F.col("trigrams") > 0) & (_argmax(F.col("_p"), languages) != UNKNOWN)).alias("accepted"))
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:

@@ -176,3 +176,28 @@ def test_pages_give_markup_suffix_and_host(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = identify(spark, page_evidence(pages)).collect()
     assert len(out) == pages.count() and all(0 < r.probability <= 1 for r in out)
+
+
+FOREIGN = {
+    "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura esta selva selvaggia e aspra e forte",
+    "ru": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Все смешалось в доме",
+    "junk": "qzx wvkj xqpz jjfw qkxz vbqw zzxk pqjv xwkq jzvb qfxk wjqz kxvq zqpw jxkf vqzw xkjq wpzx qvjk fzxq",
+}
+
+
+def test_texts_of_no_trained_language_are_rejected(spark, documents):
+    rows = [(9000 + i, t, None, None, f"src{i}") for i, t in enumerate(FOREIGN.values())] + [(9010, FOREIGN["ru"], "en", None, "src1"), (9011, "ab", "xx", None, "x"), (9012, "1 2 3", "tlh", None, "x")]
+    e = document_evidence(documents)
+    got = {r.doc_id: r for r in identify(spark, e.union(spark.createDataFrame(rows[:3], e.schema))).collect()}
+    assert all((got[r[0]].language, got[r[0]].text_language, got[r[0]].accepted) == ("und", "und", False) for r in rows[:3])
+    # a language of a few letters or of none is no refuge for them
+    got = {r.doc_id: r for r in identify(spark, e.union(spark.createDataFrame([*rows[:3], *rows[4:]], e.schema))).collect()}
+    assert not any(got[r[0]].accepted for r in rows[:3]) and sum(r.accepted for r in got.values()) >= 0.98 * documents.count()
+
+
+def test_every_declared_language_is_trained(spark, documents):
+    e = document_evidence(documents)
+    words = FOREIGN["ru"].split()
+    rows = [(9000 + i, " ".join(words[i % 7 :] + words[: i % 5]), "ru" if i else None, None, None) for i in range(20)]
+    got = {r.doc_id: r for r in identify(spark, e.union(spark.createDataFrame(rows, e.schema))).collect()}
+    assert all(got[r[0]].language == "ru" and got[r[0]].accepted for r in rows)
