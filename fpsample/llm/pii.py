@@ -96,18 +96,37 @@ _GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 # White space is entered at the start of its run alone and taken whole, so long runs cost no more than their length.
 _BEFORE, _AFTER = r"(?:(?<!\s)\s++)", r"\s*+"
-_DOT_WORD = rf"(?:{_BEFORE}?{_OPEN}{_AFTER}(?:dot|\.){_AFTER}{_CLOSE}{_AFTER}|{_BEFORE}dot\s++)"
-#: Top-level domains that a bare "at ... dot ..." has to end with, to tell it from prose (fixed values).
+_DOT_SIGN = rf"{_BEFORE}?{_OPEN}{_AFTER}(?:dot|\.){_AFTER}{_CLOSE}{_AFTER}"
+_DOT_WORD = rf"(?:{_DOT_SIGN}|{_BEFORE}dot\s++)"
+#: Endings that pass after a bare "at ... dot ..." whatever stands before them (fixed values).
 _TOP = "(?:com|org|net|edu|gov|info|biz|io|dev|uk|de|fr|es|it|nl|be|ch|at|eu|us|ca|au|jp|in|br|example|test)"
-#: One pass over a text without look-alikes: at and dot in brackets; bare "at" only before a domain that has a disguised dot; bare "dot" between parts; two or more digits in words.
+#: Prose, where "at" and the dots are all bare: words that begin no domain of two parts there, words that end none (no top-level domain is
+#: among them), and words before "at" a site's name, which are nobody's local part (fixed values).
+_BEGINS = "(?:the|a|an|this|that|these|those|each|every|any|some|no|its|his|her|their|our|your|my)"
+_ENDS = "(?:of|on|or|if|up|he|we|an|the|and|for|with|from|that|this|these|those|was|were|are|but|not|than|then|when|where|which|who|over|under|into|onto|its|his|her|their|our|your|she|they|you|there|here|has|have|had|will|would|can|could|may|might|between|after|before|near|above|below)"
+_BEFORE_SITES = frozenset("""
+available is are was were be been being it us me him them you look looks looked looking see seen visit found find hosted host site
+website page pages blog shop store online located work works worked working read more published posted download downloaded live
+lives stay details information here there buy bought sold start started begin stop end ends arrive arrived meet met only also
+directly listed documentation docs source code repository project join register registered sign out up in or and but not both
+""".split())
+_LABEL = "[a-z0-9-]++"
+_LAST = r"(?:xn--[a-z0-9-]++|[a-z]{2,63}\b(?!-\w))"
+_MORE = rf"(?:{_LABEL}(?:\.|{_DOT_WORD})){{0,126}}?"
+#: A domain with a disguised dot, plain ones between its labels as may be: ending in _TOP; with a dot in brackets; in words that are no prose.
+_DISGUISED_DOMAIN = rf"(?:{_LABEL}(?:\.{_LABEL})*+{_DOT_WORD}{_MORE}{_TOP}\b|{_MORE}{_LABEL}{_DOT_SIGN}{_MORE}{_LAST}|(?!{_BEGINS}{_DOT_WORD}{_LABEL}(?!{_DOT_WORD}|\.\w)){_LABEL}(?:\.{_LABEL})*+{_DOT_WORD}{_MORE}(?!{_ENDS}\b){_LAST})"
+#: A domain of plain dots alone, its last label in one case: no start of a sentence, no address of the web.
+_PLAIN_DOMAIN = rf"(?:(?!www\.){_LABEL}(?:\.{_LABEL}){{0,126}}?\.(?!{_ENDS}\b)(?-i:xn--[a-z0-9-]++|[a-z]{{2,63}}|[A-Z]{{2,63}})(?![\w/:@-]|\.\w))"
+#: One pass over a text without look-alikes: at and dot in brackets; bare "at" only before a domain; bare "dot" between parts; two or more digits in words.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_BEFORE}?{_OPEN}{_AFTER}(?:at|@){_AFTER}{_CLOSE}{_AFTER}|(?<=[a-z0-9_%+.-])\s++at\s++(?=[a-z0-9-]++(?:{_DOT_WORD}[a-z0-9-]++)*?{_DOT_WORD}{_TOP}\b)|{_BEFORE}@{_AFTER}(?=[a-z0-9])|@\s++(?=[a-z0-9-]++{_DOT_WORD}{_TOP}\b))"
+    rf"(?P<at>{_BEFORE}?{_OPEN}{_AFTER}(?:at|@){_AFTER}{_CLOSE}{_AFTER}|(?<=[a-z0-9_%+.-])\s++at\s++(?={_DISGUISED_DOMAIN})|{_BEFORE}@{_AFTER}(?=[a-z0-9])|@\s++(?={_DISGUISED_DOMAIN}|{_PLAIN_DOMAIN}))"
+    rf"|(?P<bare>(?<=[a-z0-9_%+.-])\s++at\s++(?={_PLAIN_DOMAIN}))"
     rf"|(?P<dot>{_DOT_WORD}(?=[a-z0-9]))"
     rf"|(?P<digits>\b{_DIGIT_WORD}(?:[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b)+)",
     re.IGNORECASE,
 )
 #: What a text without any disguise lacks; most texts are done after this.
-_HINT = re.compile(rf"{_OPEN}{_AFTER}(?:at|@|dot|\.){_AFTER}{_CLOSE}|\sdot\s|\s@|@\s|\b{_DIGIT_WORD}[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b", re.IGNORECASE)
+_HINT = re.compile(rf"{_OPEN}{_AFTER}(?:at|@|dot|\.){_AFTER}{_CLOSE}|\sdot\s|\sat\s++{_LABEL}\.[a-z0-9]|\s@|@\s|\b{_DIGIT_WORD}[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b", re.IGNORECASE)
 _PART = re.compile(rf"{_DIGIT_WORD}|[0-9]", re.IGNORECASE)
 
 
@@ -165,6 +184,12 @@ class Normalised:
         return first, last, changed or last - first != end - start
 
 
+def _is_prose(text: str, at: int) -> bool:
+    """Whether the word that ends here is one of prose before "at" and a site's name."""
+    found = re.search(r"[A-Za-z0-9_%+.-]{1,24}\Z", text[max(0, at - 24) : at])
+    return found is None or found[0].lower() in _BEFORE_SITES
+
+
 def normalise(text: str) -> Normalised | None:
     """The text with disguises undone; None if it has none."""
     out = Normalised(text)
@@ -175,8 +200,10 @@ def normalise(text: str) -> Normalised | None:
 
         def edits() -> Iterator[tuple[int, int, str]]:
             for m in _DISGUISE.finditer(out.text):
+                if m.lastgroup == "bare" and _is_prose(out.text, m.start()):
+                    continue
                 if m.lastgroup != "digits":
-                    yield m.start(), m.end(), "@" if m.lastgroup == "at" else "."
+                    yield m.start(), m.end(), "." if m.lastgroup == "dot" else "@"
                 else:  # each word by itself, what stands between goes, so that a span may end inside
                     parts = list(_PART.finditer(out.text, m.start(), m.end()))
                     for p, q in zip(parts, [*parts[1:], None], strict=True):

@@ -57,6 +57,31 @@ def test_plain_prose_has_no_disguised_spans(documents):
         assert all(any(c in t for c in "@+0123456789") or s is None for s in pii.disguised_spans(t, pii.plain_spans(t))), t
 
 
+@pytest.mark.parametrize(
+    "address",
+    ["jan at firma dot pl", "jan at firma dot cn", "jan at firma dot ru", "jan at firma.com", "jan at mail.firma dot com", "jan at mail dot firma.com", "jan at firma [dot] pl",
+     "jan.kowal at a dot b dot museum", "jan@ firma dot pl", "jan@ mail.firma dot ru", "JAN AT FIRMA.PL", "jan at firma dot co.uk"],
+)
+def test_bare_at_before_any_domain(address):
+    for text in (f"mail {address} now", f"mail {address}."):
+        assert [(k, text[a:b]) for k, a, b in pii.disguised_spans(text, pii.plain_spans(text))] == [("email", address)]
+
+
+def test_bare_at_in_prose():
+    for t in ("we met at noon at the dot of twelve", "ball at red dot on page", "see us at firma.com", "he left at noon.Then it rained", "shown at www.firma.com", "prices at firma.com/list", "at 5.30 or met at 5.30", "look at this dot over there", "it is available at firma.com."):
+        assert pii.disguised_spans(t, pii.plain_spans(t)) == [], t
+
+
+def test_domains_take_linear_time():
+    import time
+
+    n = 100_000
+    began = time.time()
+    for t in ("x at a." * n, "x at " + "a." * n, "x at " + "a dot " * n, "x at a dot " * n, "a at dot dot at dot " * (n // 20), "x at " + "a-" * n, "@ " + "a." * n, "@ a dot " * n, "x at " + "a [dot] " * n, "x at a [.] " * n, "x at" + " " * n + "a."):
+        pii.disguised_spans(t, pii.plain_spans(t))
+    assert time.time() - began < 60
+
+
 def test_long_runs_take_linear_time():
     import time
 
