@@ -129,6 +129,7 @@ def identify(spark: SparkSession, rows: DataFrame, accept: float = ACCEPT) -> Da
     evidence = ("text", "declared", "suffix", "host")
     others = [c for c in rows.columns if c not in (*evidence, "language", "probability", "text_language", "n_trigrams", "accepted")]
     body = rows.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)], *[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in evidence])
+    body = body.withColumns({c: F.lower(F.trim(F.split(c, "[-_]")[0])) for c in ("declared", "suffix")})  # the language of a tag, without its region
     languages, model = train(spark, body)
     k = len(languages)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in body.schema if f.name != "text")
@@ -162,7 +163,7 @@ def identify(spark: SparkSession, rows: DataFrame, accept: float = ACCEPT) -> Da
     logs = F.transform(F.coalesce("p_host", F.array(*[F.lit(x) for x in overall])), lambda x: F.log(x))
     for column in ("declared", "suffix"):
         # P(value | language) from the languages of texts, smoothed towards the value's share of all rows
-        out = out.withColumn("_value", F.lower(F.trim(F.split(column, "[-_]")[0])))
+        out = out.withColumn("_value", F.col(column))
         counts = out.filter("_value is not null").groupBy("_value").agg(*shares, F.count("*").alias("n"))
         known = F.array(*[F.log((F.col(f"n{i}") + STRENGTH * F.col("n") / max(rows_in, 1)) / (t + STRENGTH)) for i, t in enumerate(totals)])
         counts = written(spark, counts.select("_value", "n", known.alias("_known")), f"{column}-counts")

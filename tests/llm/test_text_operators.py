@@ -226,3 +226,12 @@ def test_every_declared_language_is_trained(spark, documents):
     rows = [(9000 + i, " ".join(words[i % 7 :] + words[: i % 5]), "ru" if i else None, None, None) for i in range(20)]
     got = {r.doc_id: r for r in identify(spark, e.union(spark.createDataFrame(rows, e.schema))).collect()}
     assert all(got[r[0]].language == "ru" and got[r[0]].accepted for r in rows)
+
+
+def test_declared_regions_and_cases_are_trained(spark, documents):
+    from pyspark.sql import functions as F
+
+    e = document_evidence(documents)
+    tagged = e.withColumn("declared", F.when(F.col("doc_id") % 2 == 0, F.concat("declared", F.lit("-XX"))).otherwise(F.concat(F.lit(" "), F.upper("declared"))))
+    want = {r.doc_id: r for r in identify(spark, e).collect()}
+    assert {r.doc_id: r for r in identify(spark, tagged).collect()} == want and len({r.text_language for r in want.values()}) == 4
