@@ -106,6 +106,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "language", "probability", "text_language", "accepted")
 
 
+@query
+def op6_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fpsample.llm.language import identify, page_evidence
+
+    out = identify(spark, page_evidence(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "language", "probability", "text_language", "accepted")
+
+
 @query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fpsample.llm.jaccard import similar_groups

@@ -235,3 +235,13 @@ def test_declared_regions_and_cases_are_trained(spark, documents):
     tagged = e.withColumn("declared", F.when(F.col("doc_id") % 2 == 0, F.concat("declared", F.lit("-XX"))).otherwise(F.concat(F.lit(" "), F.upper("declared"))))
     want = {r.doc_id: r for r in identify(spark, e).collect()}
     assert {r.doc_id: r for r in identify(spark, tagged).collect()} == want and len({r.text_language for r in want.values()}) == 4
+
+
+def test_pages_query_reads_whole_pages(spark):
+    from __spark_entry__ import queries
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = queries()["op6_language_pages"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    told = [r for r in got if (m := re.search(r'<html lang="([a-z]+)', pages[r.page_id])) and r.language == m[1]]
+    assert len(told) >= 0.9 * len(got)
