@@ -51,8 +51,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as its source's target takes it."""
-    return mixed_rows(mix_sources(spark, docs)).select(*COLUMNS)
+    """The mix: each document as often as its source's target takes it, a shard's rows together and in the shard's order."""
+    mixed = mixed_rows(mix_sources(spark, docs))
+    return mixed.repartition("shard").sortWithinPartitions("shard", "order_key").select(*COLUMNS)  # a partition may hold several shards
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

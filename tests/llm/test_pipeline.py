@@ -48,3 +48,12 @@ def test_empty_table_passes_through(spark, documents):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_mix_follows_the_tree(spark, documents):
+    rows = P.mixed_rows(P.mix_sources(spark, documents)).collect()
+    shards = [[r.doc_id for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.order_key)] for s in range(8)]
+    assert all(shards)
+    got = [r.doc_id for r in P.mix(spark, documents, "").collect()]
+    text = lambda ids: "," + ",".join(map(str, ids)) + ","
+    assert len(got) == len(rows) and all(text(ids) in text(got) for ids in shards)
