@@ -86,9 +86,12 @@ class Bands:
         return size * (100 - self.percent) // self.percent
 
     def levels(self, size: int) -> list[int]:
-        """The bands at which a set of this size signs: its own, and the next if a set there may be linked with it."""
+        """The bands at which a set of this size signs: its own, and all above where a set may be linked with it."""
         own = int(np.searchsorted(self.edges, size, "right")) - 1
-        return [own, own + 1] if 100 * size >= self.percent * self.edges[own + 1] else [own]
+        last = own
+        while 100 * size >= self.percent * self.edges[last + 1]:
+            last += 1
+        return list(range(own, last + 1))
 
     def fragments(self, level: int) -> int:
         """Fragments at a level: more than any pair there can differ in, and some to spare, so that few sets have to sign empty ones."""

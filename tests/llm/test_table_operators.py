@@ -217,6 +217,25 @@ def test_linked_sets_share_a_signature():
                 assert x & y
 
 
+def test_linked_sets_far_apart_in_size_share_a_signature():
+    rng = random.Random(6)
+    for percent in (51, 55, 60, 66):
+        bands = Bands(percent)
+        for size in (*range(1, 60), 400):
+            a = [rng.getrandbits(64) for _ in range(100 * size // percent)]
+            x, y = (set(signatures(np.unique(np.array(s, np.uint64)), bands).tolist()) for s in (a[:size], a))
+            assert len(a) == size or x & y, (percent, size)
+    for percent in (80, 90):  # the registered queries' levels are at most two, as ever
+        assert all(len(Bands(percent).levels(n)) <= 2 for n in range(1, 3000))
+
+
+@pytest.mark.parametrize("percent", [51, 60])
+def test_low_thresholds_as_brute_force(spark, percent):
+    rows = families(4, percent)
+    got = similar_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, percent)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows, 3, percent)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     got = components(spark, spark.createDataFrame(edges, "a long, b long"))
