@@ -257,10 +257,11 @@ class OneBoundaryBalancedKMeans(_Fitted):
 class DublyBalancedKMeans(_Fitted):
     """Clusters equal in number and mass: units are copied pi / split times, clustered under size bounds, labelled by majority, then balanced.
 
-    The split adapts: at most the least positive pi, so that no population vanishes, as far as MOST_COPIES copies allow.
+    The split adapts: at most the least positive pi, so that no population vanishes, as far as MOST_COPIES copies, or
+    COPIES_A_UNIT a unit where these are more, allow. Every unit of positive pi has one copy at least.
     """
 
-    MOST_COPIES = 20_000
+    MOST_COPIES, COPIES_A_UNIT = 20_000, 2
 
     def __init__(self, k: int, split_size: float = 0.01, *, tolerance: int = 3, seed: int = 0):
         super().__init__(k, tolerance=tolerance, seed=seed)
@@ -269,8 +270,8 @@ class DublyBalancedKMeans(_Fitted):
     def _run(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         p = sizes.sum(axis=1)
         split = self.split_size if p.max() * 2 > self.split_size and (np.round(p / self.split_size) > 0).mean() > 0.5 else p[p > 0].min()
-        split = max(split, p.sum() / self.MOST_COPIES)
-        copies = np.round(p / split).astype(int)
+        split = max(split, p.sum() / max(self.MOST_COPIES, self.COPIES_A_UNIT * len(p)))
+        copies = np.where(p > 0, np.maximum(np.round(p / split), 1), 0).astype(int)
         owner = np.repeat(np.arange(len(p)), copies)
         if len(owner) < self.k:
             owner = np.arange(len(p))

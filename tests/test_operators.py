@@ -368,3 +368,17 @@ def test_stream_windows_as_the_table(spark, tmp_path):
     got = {(r.start, r.event_id, r["rank"]) for r in spark.table("windows").collect()}
     want = {(r.start, r.event_id, r["rank"]) for r in table_window_samples(events, 3, "6 hours").collect()}
     assert got and got <= want
+
+
+def test_no_size_drops_units_from_doubly_balanced_clusters(monkeypatch):
+    rng = np.random.default_rng(3)
+    points, p = rng.random((400, 2)), rng.uniform(0.8, 1.2, 400)
+    p *= 4 / p.sum()
+    seen, whole = [], C.K.constrained_kmeans
+    monkeypatch.setattr(C.DublyBalancedKMeans, "MOST_COPIES", 200)  # a population larger than the cap
+    monkeypatch.setattr(C.K, "constrained_kmeans", lambda x, *a: seen.append(x) or whole(x, *a))
+    mass = C.DublyBalancedKMeans(4)._run(points, p[:, None])
+    assert set(map(tuple, seen[0])) == set(map(tuple, points)) and np.allclose(mass.sum(axis=0), 1, atol=0.01)
+    p[:200] /= 1000  # units far below the split
+    C.DublyBalancedKMeans(4)._run(points, p[:, None])
+    assert set(map(tuple, seen[1])) == set(map(tuple, points))
