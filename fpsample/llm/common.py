@@ -64,26 +64,23 @@ def row_key() -> dict[str, Column]:
     return {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "_text_hash": F.xxhash64("text")}
 
 
-def spread_join(left: DataFrame, groups: DataFrame, key: str, weight: str, salt: Column, parts: int = 1000, salts: int = 1 << 20) -> DataFrame:
+def spread_join(left: DataFrame, groups: DataFrame, key: str, weight: str, salt: Column, parts: int = 1000) -> DataFrame:
     """Left join with ``groups``, which has one row a key and in ``weight`` the key's number of rows in ``left``.
 
-    Keys with more than one in ``parts`` of all rows are fewer than ``parts`` by their sum, so their groups are broadcast
-    and their rows, dealt out by ``salt``, gather nowhere. All other keys meet in an ordinary shuffled join. Rows with a
-    null key match nothing. ``groups`` is read three times: pass a written table.
+    Keys with more than one in ``parts`` of all rows are fewer than ``parts`` by their sum, so a list of these keys alone is
+    broadcast; their rows are dealt out by ``salt``, and their groups copied, to as many places as it takes that none has
+    more than one in ``parts`` (at most twice ``parts`` copies in all). All meet in one shuffled join, whatever the groups'
+    width. Rows with a null key match nothing. ``groups`` is read three times: pass a written table.
     """
     total = groups.agg(F.sum(weight)).first()[0] or 0
     names = [c for c in groups.columns if c not in (key, weight)]
-
-    def side(condition: Column, name: str) -> DataFrame:
-        return groups.filter(condition).select(F.col(key).alias(f"{name}_key"), F.struct(*names).alias(name))
-
-    heavy = side(F.col(weight) * parts > total, "_heavy")
-    light = side(F.col(weight) * parts <= total, "_light").withColumn("_light_salt", F.lit(0))
-    out = left.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left")
-    out = out.withColumn("_salt", F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int") + 1).otherwise(F.lit(0)))
-    out = out.join(light, (F.col(key) == F.col("_light_key")) & (F.col("_salt") == F.col("_light_salt")), "left")
-    got = F.coalesce("_heavy", "_light")
-    return out.select(*left.columns, *[got[c].alias(c) for c in names])
+    copies = F.ceil(F.col(weight) * F.lit(float(parts)) / F.lit(float(max(total, 1)))).cast("int")
+    heavy = groups.filter(copies > 1).select(F.col(key).alias("_heavy_key"), copies.alias("_copies"))
+    places = F.coalesce("_copies", F.when(F.col(key).isNull(), F.lit(1 << 20)), F.lit(1))
+    dealt = left.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left").withColumn("_salt", F.pmod(F.xxhash64(salt), places).cast("int"))
+    copied = groups.select(F.col(key).alias("_group_key"), F.struct(*names).alias("_group"), F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)).alias("_group_salt"))
+    out = dealt.join(copied, (F.col(key) == F.col("_group_key")) & (F.col("_salt") == F.col("_group_salt")), "left")
+    return out.select(*left.columns, *[F.col("_group")[c].alias(c) for c in names])
 
 
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -1,20 +1,23 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of shingles is that of their 64-bit hashes, cut into fragments of equal ranges. Documents whose Jaccard
-similarity is high agree on whole fragments: sets that differ in D shingles cannot differ in more than D of D + 1 fragments.
-So candidates come from equal fragments, and candidates' overlaps are counted fragment by fragment and summed per pair.
+similarity is high agree on whole fragments: sets that differ in D shingles agree on all but D of the fragments that either
+fills. So candidates come from equal fragments, and candidates' overlaps are counted fragment by fragment and summed per pair.
 
 1. Equal sets are one class; only classes are compared.
-2. A class signs its fragments, as many as its size band needs; a signature shared by several classes makes a group.
-3. In a group the class that shares most is the representative. Each member is compared with it, not with every other one.
-4. Two members of which one is not linked to the representative can only be linked if their differences from it
-   coincide in more than half: these are joined, rarest shingles first, by prefixes, with bounds on what may still follow.
+2. A class signs its fragments, as many as its size band needs. Signatures that no other row has cannot be shared: a class
+   with fewer repeated ones than a link needs is linked with nothing, and the others give out a prefix of theirs.
+3. A signature shared by several classes makes a group, and the class that shares most is the group's representative. Each
+   member is compared with it, not with every other one: partial overlaps by fragment, summed per pair.
+4. Two members of which one is not linked to the representative can only be linked if their differences from it coincide.
+   Differences that only one member has cannot; what is left gives bounds on the partners a member may have, and members
+   with possible partners are joined by prefixes. Their overlaps too are counted by fragment and summed.
 5. Components of the links found are exact: a link left out has both ends linked to one representative.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,52 +25,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fpsample.llm.common import prepare, row_key, sized_broadcast, spread_join, written
+from fpsample.llm.common import prepare, row_key, spread_join, written
+from fpsample.llm.shingles import mix, shingle_hashes
 
-#: Ids of texts to read again that are broadcast at most (some 12 MB); beyond these the join shuffles.
+#: Keys of repeated texts that are broadcast at most (some 12 MB); beyond these, repeated texts sign as well, with the same result.
 MOST_BROADCAST = 300_000
-#: Bytes of representatives' shingles that are broadcast at most.
-MOST_BYTES = 48 << 20
 #: Fragments by which overlaps are counted.
 VERTICAL = 8
 #: Size bands grow by this; fragments besides those the bound needs.
 BAND, SPARE = 1.5, 2
-#: Signatures that a task gathers before it gives them out; bits of the map of repeated ones, 32 MB at most, and of one block of it.
-GATHERED, MOST_BITS, BLOCK_BITS = 1 << 21, 28, 20
-#: Distinct words that a task keeps the hashes of.
-MOST_WORDS = 1 << 20
-_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that leaves no structure (the finaliser of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+#: Tokens that a task gathers before it gives them out, and tokens of one bucket, about.
+GATHERED, BUCKET = 1 << 21, 1 << 21
+#: Bits of a map of tokens, 32 MB at most, and of one block of it.
+MOST_BITS, BLOCK_BITS = 28, 20
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts: A-Z in lower case, words between blanks and 0x09-0x0D, ``width`` words; all of a text's words where it has fewer."""
+    """Sorted distinct shingle hashes of one text: A-Z in lower case, words between blanks and 0x09-0x0D, ``width`` words; all of a text's words where it has fewer."""
 
     def __init__(self, width: int = 3):
-        self.width, self.words = width, {}
+        self.width = width
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if len(words) < self.width:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64) if words else np.empty(0, np.uint64)
-        known = self.words
-        if len(known) > MOST_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-        n = len(words) - self.width + 1
-        total = np.zeros(n, np.uint64)
-        for i in range(self.width):
-            total = mix(total + h[i : i + n] * _K[i % 3])
-        return np.unique(total)
+        return shingle_hashes(pa.array([text], pa.string()), self.width)[0]
 
 
 class Bands:
@@ -99,85 +79,117 @@ class Bands:
         return most + 1 + SPARE + most // 20
 
 
-def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """One hash for each filled fragment, of its level, place and shingles.
+def levelled(hashes: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int]]:
+    """For each level of a set its signatures, and how many of them any linked set signs as well.
 
-    Two linked sets agree on F - D fragments of a level or more, F > D. If all of these are empty, either set's filled
-    fragments all differ, so they are no more than the differences that its size allows: such sets, which are rare, sign
-    their empty fragments too.
+    There is one signature for each filled fragment, of its level, place and shingles. Of these, linked sets share all but
+    D. A set that fills D fragments or fewer may share none; it signs its empty fragments too. Two linked sets agree on
+    F - D fragments or more, F > D; if all of these are empty, either set's filled fragments all differ, so both are such sets
+    and share an empty one. If only one of them is, the other fills more than D, so they share a filled one.
     """
     n = len(hashes)
-    if n == 0 or bands.differences(n) == 0 and bands.differences(int(n * 100 / bands.percent) + 1) == 0:
-        return np.empty(0, np.uint64)  # linked with equal sets alone
+    most = bands.differences(n)
+    if n == 0 or most == 0:
+        return []  # linked with equal sets alone
     out = []
     mixed = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    high = hashes >> np.uint64(32)
     for level in bands.levels(n):
         f = bands.fragments(level)
-        place = ((hashes >> np.uint64(32)) * np.uint64(f)) >> np.uint64(32)
-        at, first = np.unique(place, return_index=True)
-        sums = np.add.reduceat(mixed, first)
+        place = (high * np.uint64(f)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        at = place[first]
         base = np.uint64(level << 40)
-        out.append(mix(sums + mix(at + base)))
-        if len(at) <= bands.differences(n):
+        sigs = mix(np.add.reduceat(mixed, first) + mix(at + base))
+        need = len(at) - most
+        if need <= 0:
             empty = np.setdiff1d(np.arange(f, dtype=np.uint64), at)
-            out.append(mix(mix(empty + base) ^ np.uint64(0x2545F4914F6CDD1D)))
-    return np.concatenate(out)
+            sigs, need = np.concatenate([sigs, mix(mix(empty + base) ^ np.uint64(0x2545F4914F6CDD1D))]), 1
+        out.append((sigs, need))
+    return out
+
+
+def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
+    """A set's signatures of all levels."""
+    return np.concatenate([np.empty(0, np.uint64), *(s for s, _ in levelled(hashes, bands))])
+
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
-def sign(width: int, bands: Bands):
+
+def _sid(digest: bytes) -> int:
+    """The short name of a set, by which candidates are known: 64 bits."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
         for b in batches:
-            sizes, keys, lists = [], [], []
-            for text in b.column("text").to_pylist():
-                h = shingle(text)
-                sizes.append(len(h))
-                keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                lists.append(signatures(h, bands).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
-            rest = [b.column(c) for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), sigs], [*(c for c in b.schema.names if c != "text"), "n", "set", "sigs"])
+            found = shingle_hashes(b.column("text"), width)
+            keys = [_digest(h) if len(h) else None for h in found]
+            rest = [c for c in b.schema.names if c != "text"]
+            made = [pa.array([len(h) for h in found], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and _sid(k) for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *made], [*rest, "n", "set", "sid"])
 
     return run
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's signatures as sorted arrays by their leading 8 bits, each signature once, or twice if it is there more often: eight bytes a signature, and a hot one costs a task sixteen."""
-    edges = np.arange(257, dtype=object) * (1 << 56)
-    held: list[np.ndarray] = []
-    size = 0
+# -- tokens that occur more than once -------------------------------------------------------------------
+Tokens = Callable[[pa.RecordBatch], np.ndarray]
 
-    def out() -> pa.RecordBatch:
+
+def _pack(tokens: Tokens, buckets: int):
+    """A task's tokens as sorted arrays by their leading ``buckets`` bits, of each the next 32 bits: each once, or twice if it is there more often, so that a hot one costs a task eight bytes."""
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
         every = np.repeat(found, np.minimum(n, 2))
-        cut = [0, *np.searchsorted(every, np.array(edges[1:256], np.uint64)).tolist(), len(every)]
-        parts = [(b, every[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "sigs"])
+        bucket = every >> np.uint64(64 - buckets)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        low = (every >> np.uint64(32 - buckets)).astype(np.uint32)
+        parts = [x.tobytes() for x in np.split(low, cut[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array(parts, pa.binary())], ["bucket", "tokens"])
 
-    for b in batches:
-        held.append(b.column("sigs").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        size += len(held[-1])
-        if size > GATHERED:
-            yield out()
-            held, size = [], 0
-    if size:
-        yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            held.append(tokens(b))
+            size += len(held[-1])
+            if size > GATHERED:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures that are in the partition's arrays more than once."""
-    held = [np.frombuffer(x, np.uint64) for b in batches for x in b.column("sigs").to_pylist()]
+    """Tokens that are in a bucket's arrays more than once; buckets come one after the other."""
+
+    def out(bucket: int, held: list[bytes]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in held]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64) | np.int64(bucket << 32))], ["token"])
+
+    now, held = None, []
+    for b in batches:
+        for bucket, x in zip(b.column("bucket").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+            if bucket != now and held:
+                yield out(now, held)
+                held = []
+            now = bucket
+            held.append(x)
     if held:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64))], ["sig"])
+        yield out(now, held)
 
 
-def _bits(bits: int):
+def _blocks(bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for b in batches:
-            at = b.column("sig").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            at = b.column("token").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(width - bits)
             for block in np.unique(at >> np.uint64(BLOCK_BITS)).tolist():
                 inside = (at[at >> np.uint64(BLOCK_BITS) == block] & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
                 held = blocks.setdefault(block, np.zeros(1 << BLOCK_BITS, bool))
@@ -188,122 +200,182 @@ def _bits(bits: int):
     return run
 
 
-def _held_signatures(spark: SparkSession, signed: DataFrame) -> DataFrame:
-    """(set, sig) rows of signed (set, sigs) whose signature another row may share.
+class BitMap:
+    """Tokens by their leading bits, in every task: at most 2**MOST_BITS bits, 32 MB, however many tokens there are. It lets through all of them and, by chance, a few others (the more, the fuller it is), which exact steps drop later."""
 
-    Repeated signatures are found from packed arrays, a map of their leading bits (at most 2**MOST_BITS bits, 32 MB, however
-    many there are) goes to every task, and signatures outside it stay where they are. The map lets through all repeated
-    signatures and, by chance, a few others, which the exact grouping drops.
-    """
-    repeated = signed.select("sigs").mapInArrow(_blobs, "bucket int, sigs binary").repartition("bucket").mapInArrow(_repeated, "sig long")
-    repeated = written(spark, repeated, "jaccard-repeated")
-    bits = min(MOST_BITS, max(BLOCK_BITS, (16 * repeated.count()).bit_length()))
-    block = F.shiftrightunsigned("sig", 64 - bits + BLOCK_BITS).alias("block") if bits > BLOCK_BITS else F.lit(0).alias("block")
-    blocks = repeated.select("sig", block).repartition("block").select("sig").mapInArrow(_bits(bits), "block int, bits binary").collect()
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    for r in blocks:
-        table[r.block << (BLOCK_BITS - 3) : (r.block + 1) << (BLOCK_BITS - 3)] |= np.frombuffer(r.bits, np.uint8)
-    sent = spark.sparkContext.broadcast(table)
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+    def __init__(self, spark: SparkSession, tokens: DataFrame, width: int = 64):
+        self.bits = min(MOST_BITS, max(BLOCK_BITS, (16 * tokens.count()).bit_length()))
+        block = F.shiftrightunsigned("token", width - self.bits + BLOCK_BITS) if self.bits > BLOCK_BITS else F.lit(0)
+        found = tokens.select("token", block.alias("block")).repartition("block").select("token").mapInArrow(_blocks(self.bits, width), "block int, bits binary").collect()
+        table = np.zeros(1 << (self.bits - 3), np.uint8)
+        for r in found:
+            table[r.block << (BLOCK_BITS - 3) : (r.block + 1) << (BLOCK_BITS - 3)] |= np.frombuffer(r.bits, np.uint8)
+        self.sent = spark.sparkContext.broadcast(table)
+
+    def holds(self, tokens: np.ndarray) -> np.ndarray:
+        at = tokens >> np.uint64(64 - self.bits)
+        return (self.sent.value[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def repeated_tokens(spark: SparkSession, df: DataFrame, tokens: Tokens, total: int) -> BitMap:
+    """A map of the tokens that ``tokens`` finds in df's batches more than once. ``total``: how many there are, about; each task of the count holds a bucket of some BUCKET tokens at a time."""
+    buckets = min(28, max(5, (total // BUCKET).bit_length()))
+    packed = df.mapInArrow(_pack(tokens, buckets), "bucket long, tokens binary").repartition("bucket").sortWithinPartitions("bucket")
+    return BitMap(spark, written(spark, packed.mapInArrow(_repeated, "token long"), "jaccard-repeated"), buckets + 32)
+
+
+# -- candidates -----------------------------------------------------------------------------------------
+def _all_signatures(width: int, bands: Bands) -> Tokens:
+    return lambda b: np.concatenate([np.empty(0, np.uint64), *(signatures(h, bands) for h in shingle_hashes(b.column("text"), width))])
+
+
+def _shared_signatures(width: int, bands: Bands, known: BitMap):
+    """(x, sig) rows: of the sets that share enough signatures at a level, the least of those that may be shared, so many that any linked set shares one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("sigs")
-            sigs = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            at = sigs.view(np.uint64) >> np.uint64(64 - bits)
-            hit = (known[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
-            yield pa.RecordBatch.from_arrays([b.column("set").take(pa.array(owner[hit])), pa.array(sigs[hit])], ["set", "sig"])
+            names, lists = [], [np.empty(0, np.uint64)]
+            for h in shingle_hashes(b.column("text"), width):
+                for sigs, need in levelled(h, bands):
+                    hit = sigs[known.holds(sigs)]
+                    if len(hit) >= need:
+                        lists.append(np.sort(hit)[: len(hit) - need + 1])
+                        names.append(np.full(len(lists[-1]), _sid(_digest(h)), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *names])), pa.array(np.concatenate(lists).view(np.int64))], ["x", "sig"])
 
-    return signed.select("set", "sigs").mapInArrow(held, "set binary, sig long").distinct()
+    return run
+
+
+def _star_pairs(spark: SparkSession, signed: DataFrame) -> DataFrame:
+    """(x, r) of signed (x, sig): each set with the representatives of the groups it is in."""
+    groups = signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig", "n", F.col("n").alias("others"))
+    groups = written(spark, groups, "jaccard-groups")
+    held = written(spark, spread_join(signed, groups, "sig", "n", F.col("x")).filter("others is not null"), "jaccard-members")
+    weight = held.groupBy("x").agg(F.sum("others").alias("weight"))
+    best = held.join(weight, "x").groupBy("sig").agg(F.count("*").alias("n"), F.min_by("x", F.struct(-F.col("weight"), F.col("x"))).alias("r"))
+    best = written(spark, best, "jaccard-representatives")
+    pairs = spread_join(held.select("x", "sig"), best, "sig", "n", F.col("x")).filter("x <> r").select("x", "r").distinct()
+    return written(spark, pairs, "jaccard-pairs")
 
 
-def fragments(width: int):
-    """(set, fragment, hashes) rows of texts, VERTICAL a text."""
+def fragments(width: int, wanted: BitMap):
+    """(sid, fragment, hashes) rows of the texts whose sets are wanted, VERTICAL a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
         edges = np.array([(i << 64) // VERTICAL for i in range(1, VERTICAL)], np.uint64)
         for b in batches:
-            sets, places, lists = [], [], []
-            for text in b.column("text").to_pylist():
-                h = shingle(text)
-                key = xxhash.xxh3_128_digest(h.tobytes())
-                for i, part in enumerate(np.split(h, np.searchsorted(h, edges))):
-                    sets.append(key)
-                    places.append(i)
-                    lists.append(part.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(places, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["set", "fragment", "hashes"])
+            found = [h for h in shingle_hashes(b.column("text"), width) if len(h)]
+            sids = np.array([_sid(_digest(h)) for h in found], np.int64)
+            chosen = np.flatnonzero(wanted.holds(sids.view(np.uint64))).tolist()
+            sizes = [np.diff([0, *np.searchsorted(found[i], edges), len(found[i])]) for i in chosen]
+            ends = np.concatenate([[0], *sizes]).cumsum()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *(found[i] for i in chosen)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sids[chosen], VERTICAL)), pa.array(np.tile(np.arange(VERTICAL, dtype=np.int32), len(chosen))), lists], ["sid", "fragment", "hashes"])
 
     return run
 
 
-#: Members of a family whose differences tell which shingles are common in it.
-SAMPLES = 5
-#: Members from which a family is large.
-LARGE_FAMILY = 16
+# -- overlaps -------------------------------------------------------------------------------------------
+def _overlaps(spark: SparkSession, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(x, r, fragment, nx, nr, added, missing) of each pair and fragment: shingles of x that r lacks, and the other way round."""
+    place = F.struct("r", "fragment").alias("place")
+    own = pairs.join(parts, pairs["x"] == parts["sid"]).select("x", place, F.col("hashes").alias("hx"))
+    theirs = pairs.groupBy("r").agg(F.count("*").alias("n")).join(parts, F.col("r") == parts["sid"]).select(place, "n", F.col("hashes").alias("hr"))
+    theirs = written(spark, theirs, "jaccard-representative-fragments")
+    met = spread_join(own, theirs, "place", "n", F.col("x"))
+    sizes = [F.size("hx").alias("nx"), F.size("hr").alias("nr")]
+    return met.select("x", "place.r", "place.fragment", *sizes, F.array_except("hx", "hr").alias("added"), F.array_except("hr", "hx").alias("missing"))
+
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values as unsigned numbers, and the row of each."""
+    values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return values, np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in the differences of two or more sampled members: these come last in the order. Any order gives the same links."""
-    for b in batches:
-        out = []
-        for samples in b.column("samples").to_pylist():
-            found, n = np.unique(np.fromiter((t for s in samples for t in s), np.int64), return_counts=True)
-            out.append(found[n > 1])
-        yield pa.RecordBatch.from_arrays([b.column("r"), b.column("n"), pa.array(out, pa.list_(pa.int64()))], ["r", "n", "common"])
 
+def _difference_tokens(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list column of shingles: tokens (one for each shingle and representative), the shingles, and the row of each."""
+    values, rows = _flat(b.column(name))
+    families = mix(b.column("r").to_numpy(zero_copy_only=False).view(np.uint64))
+    return mix(values ^ families[rows]), values, rows
 
-def _prefixes(percent: int):
-    p, q = 100 + percent, 100 - percent
+
+def _both_tokens(b: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([_difference_tokens(b, name)[0] for name in ("added", "missing")])
+
+
+def _only_repeated(known: BitMap):
+    """added and missing without the shingles by which no other member of the family differs from r; n_delta: how many there were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[] for _ in range(7)]
-            for x, r, nx, nr, added, delta, linked, common in zip(*(b.column(c).to_pylist() for c in ("x", "r", "nx", "nr", "n_added", "delta", "linked", "common")), strict=True):
-                d = np.array(delta, np.int64)
-                # own additions first, then what is missing, then what is common in the family; by hash within each
-                rank = np.where(np.isin(d, np.array(common, np.int64)), 2, np.arange(len(d)) >= added)
-                d = d[np.lexsort((d, rank))]
-                # overlap that a link with an unlinked member needs at least; an unlinked one may also meet linked ones
-                least = max(1, (len(d) * p + (nr - nx) * q) // (2 * p) + 1)
-                if not linked:
-                    least = max(1, min(least, -((nx * q - len(d) * percent) // percent)))
-                take = max(0, len(d) - least + 1)
-                keys = mix(d[:take].view(np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(r))).view(np.int64)
-                for c, v in zip(cols, (keys.tolist(), [x] * take, [r] * take, range(take), [len(d)] * take, [nx] * take, [linked] * take), strict=True):
-                    c.extend(v)
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["token", "x", "r", "at", "d", "nx", "linked"])
+            n_delta, lists = np.zeros(b.num_rows, np.int64), []
+            for name in ("added", "missing"):
+                tokens, values, rows = _difference_tokens(b, name)
+                kept = known.holds(tokens)
+                n_delta += np.bincount(rows, minlength=b.num_rows)
+                ends = np.concatenate([[0], np.bincount(rows[kept], minlength=b.num_rows).cumsum()])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[kept].view(np.int64))))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "r", "fragment", "nx", "nr")), pa.array(n_delta), *lists], ["x", "r", "fragment", "nx", "nr", "n_delta", "added", "missing"])
 
     return run
 
 
-def _family_links(spark: SparkSession, deltas: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one family, at least one of which is not linked with its representative."""
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of a row that are among the first of its pair: what is added comes before what is missing, each by fragment, then by token."""
+    for b in batches:
+        fixed = [b.column(c).to_numpy(zero_copy_only=False) for c in ("fragment", "take")]
+        sizes = [sorted((s["fragment"], s["added"], s["missing"]) for s in x) for x in b.column("sizes").to_pylist()]
+        rows, tokens, places = [], [], []
+        for kind, name in enumerate(("added", "missing")):
+            found, _, owner = _difference_tokens(b, name)
+            cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            for i in range(b.num_rows):
+                fragment, take = int(fixed[0][i]), int(fixed[1][i])
+                before = sum(s[1] for s in sizes[i]) * kind + sum(s[1 + kind] for s in sizes[i] if s[0] < fragment)
+                own = np.sort(found[cut[i] : cut[i + 1]])[: max(0, take - before)]
+                rows.append(np.full(len(own), i))
+                tokens.append(own.view(np.int64))
+                places.append(before + np.arange(len(own)))
+        at = pa.array(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64))
+        names = ["x", "r", "d", "b", "e", "seeks", "gives"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), pa.array(np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64))], [*names, "token", "at"])
+
+
+def _member_links(spark: SparkSession, kept: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one family, at least one of which is not linked with its representative.
+
+    x and y differ in u_x + u_y + d_x + d_y - 2c shingles: u differences from r that no other member has, d others, c of
+    these in common. They are linked if that is at most (nx + ny) q / p, p = 100 + percent and q = 100 - percent. With
+    a = q n - p u, b = p d - a and e = p d + a: if 2 p c >= b_x + b_y, where c is d_x or d_y at most, so b_x <= e_y and
+    b_y <= e_x. And x is not linked with r if b_x > q nr; then c has to be 1 at least. Seekers are not linked with r and may
+    have a partner by these bounds, givers may be one. Either gives out as many tokens as let it share one with any partner.
+    """
     p, q = 100 + percent, 100 - percent
-    chosen = F.array_distinct(F.array(*[F.min_by("x", F.xxhash64("x", F.lit(i))) for i in range(SAMPLES)])).alias("chosen")
-    stats = deltas.groupBy("r").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all_linked"), chosen).filter("n > 1 and not all_linked")
-    stats = written(spark, stats.select("r", "n", "chosen"), "jaccard-family-sizes")
-    # only large families need to know what is common in them, and of these only the chosen members' differences move
-    few = stats.filter(F.col("n") >= LARGE_FAMILY).select("r", "n", F.explode("chosen").alias("x")).join(deltas.select("r", "x", "delta"), ["r", "x"])
-    common = few.groupBy("r", "n").agg(F.collect_list("delta").alias("samples")).mapInArrow(_common, "r binary, n long, common array<long>")
-    families = stats.select("r", "n").join(common.select("r", "common"), "r", "left").select("r", "n", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
-    families = written(spark, families, "jaccard-families")
-    members = spread_join(deltas, families, "r", "n", F.col("x")).filter("common is not null")
-    pre = members.mapInArrow(_prefixes(percent), "token long, x binary, r binary, at int, d int, nx long, linked boolean")
-    pre = written(spark, pre, "jaccard-prefixes")
-    a, b = (pre.select(*[F.col(c).alias(f"{s}_{c}") for c in pre.columns]) for s in "ab")
-    follow = 1 + F.least(F.col("a_d") - F.col("a_at") - 1, F.col("b_d") - F.col("b_at") - 1)
-    close = 2 * p * follow >= (F.col("a_d") + F.col("b_d")) * p - (F.col("a_nx") + F.col("b_nx")) * q
-    sizes = (F.least("a_nx", "b_nx") * 100 >= F.greatest("a_nx", "b_nx") * percent)
-    once = F.col("a_linked") | (F.col("a_x") < F.col("b_x"))
-    found = a.join(b.filter("not b_linked"), (F.col("a_token") == F.col("b_token")) & (F.col("a_r") == F.col("b_r")) & (F.col("a_x") != F.col("b_x")) & once & sizes & close)
-    found = found.select(F.col("a_r").alias("r"), F.col("a_x").alias("a"), F.col("b_x").alias("b")).distinct()
-    side = lambda s: deltas.select("r", F.col("x").alias(s), F.col("nx").alias(f"n_{s}"), F.col("delta").alias(f"d_{s}"))
-    both = found.join(side("a"), ["r", "a"]).join(side("b"), ["r", "b"])
-    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    return both.filter(apart * p <= (F.col("n_a") + F.col("n_b")) * q).select("a", "b")
+    a = q * F.col("nx") - p * (F.col("n_delta") - F.col("d"))
+    stats = stats.select("x", "r", "sizes", "d", "linked", (p * F.col("d") - a).alias("b"), (p * F.col("d") + a).alias("e"))
+    stats = written(spark, stats, "jaccard-differences")
+    first = stats.groupBy("r").agg(F.count("*").alias("n"), F.max("e").alias("most"), F.min(F.when(~F.col("linked"), F.col("b"))).alias("least")).filter("n > 1 and least is not null")
+    chosen = spread_join(stats, written(spark, first, "jaccard-families"), "r", "n", F.col("x")).filter("least is not null")
+    chosen = chosen.withColumns({"seeks": ~F.col("linked") & (F.col("b") <= F.col("most")), "gives": F.col("e") >= F.col("least")}).filter("seeks or gives")
+    chosen = written(spark, chosen.drop("most", "least", "linked"), "jaccard-searching")
+    bounds = chosen.groupBy("r").agg(F.count("*").alias("n"), F.min(F.when(F.col("seeks"), F.col("b"))).alias("seeking"), F.min(F.when(F.col("gives"), F.col("b"))).alias("giving")).filter("seeking is not null and giving is not null")
+    chosen = spread_join(chosen, written(spark, bounds, "jaccard-bounds"), "r", "n", F.col("x")).filter("seeking is not null")
+    take = lambda role, other: F.when(F.col(role), F.greatest(F.lit(0), F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("b") + F.col(other)) / (2 * p))))).otherwise(0).cast("int")
+    chosen = chosen.select("x", "r", "sizes", "d", "b", "e", take("seeks", "giving").alias("seeks"), take("gives", "seeking").alias("gives")).filter("seeks > 0 or gives > 0")
+    chosen = chosen.withColumn("take", F.greatest("seeks", "gives"))
+    tokens = kept.select("x", "r", "fragment", "added", "missing").join(chosen, ["x", "r"])
+    tokens = tokens.mapInArrow(_prefixes, "x long, r long, d long, b long, e long, seeks int, gives int, token long, at long")
+    tokens = written(spark, tokens, "jaccard-prefixes")
+    s, g = (tokens.filter(F.col("at") < F.col(role)).select(*[F.col(c).alias(f"{side}_{c}") for c in ("x", "r", "d", "b", "e", "token", "at")]) for side, role in (("s", "seeks"), ("g", "gives")))
+    may = (F.col("s_b") <= F.col("g_e")) & (F.col("g_b") <= F.col("s_e")) & (2 * p * F.least(F.col("s_d") - F.col("s_at"), F.col("g_d") - F.col("g_at")) >= F.col("s_b") + F.col("g_b"))
+    met = s.join(g, (F.col("s_token") == F.col("g_token")) & (F.col("s_r") == F.col("g_r")) & (F.col("s_x") != F.col("g_x")) & may)
+    pairs = met.groupBy(F.least("s_x", "g_x").alias("a"), F.greatest("s_x", "g_x").alias("b")).agg(F.min(F.struct(F.col("s_r").alias("r"), (F.col("s_b") + F.col("g_b")).alias("need"))).alias("v"))
+    pairs = written(spark, pairs.select("a", "b", "v.r", "v.need"), "jaccard-member-pairs")
+    side = lambda s: kept.select("r", "fragment", F.col("x").alias(s), F.col("added").alias(f"added_{s}"), F.col("missing").alias(f"missing_{s}"))
+    both = pairs.join(side("a"), ["r", "a"]).join(side("b"), ["r", "b", "fragment"])
+    common = F.size(F.array_intersect("added_a", "added_b")) + F.size(F.array_intersect("missing_a", "missing_b"))
+    return both.groupBy("a", "b").agg(F.sum(common).alias("c"), F.first("need").alias("need")).filter(2 * p * F.col("c") >= F.col("need")).select("a", "b")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -338,62 +410,49 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 3, percent
 
     Two documents are linked when 100 * overlap >= percent * union of their sets of ``width``-word shingles; component_id is
     the least doc_id reachable by links, class_id the least doc_id of an equal set. Exact but for collisions of 64-bit
-    hashes inside one pair. Documents without words have no shingles, are linked with nothing and are their own component.
-    Repeated rows and ids are told apart by text; a null id counts for nothing in a minimum, and a component of nulls
-    alone has null; group_id names the component itself (null without words). Other columns are not carried; an empty table gives an empty result.
+    hashes of shingles inside one pair, and of sets that have candidates. Documents without words have no shingles, are linked
+    with nothing and are their own component. Repeated rows and ids are told apart by text; a null id counts for nothing in
+    a minimum, and a component of nulls alone has null; group_id names the component itself (null without words). Very long
+    texts are read whole, in blocks. Other columns are not carried, whatever their names; an empty table gives an empty result.
     """
     prepare(spark)
     bands = Bands(percent)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(row_key())
     key = ["_no_id", "_id", "_text_hash"]
-    rows = body.mapInArrow(sign(width, bands), "doc_id long, _no_id boolean, _id long, _text_hash long, n long, set binary, sigs array<long>")
+    rows = body.mapInArrow(_sets(width), "doc_id long, _no_id boolean, _id long, _text_hash long, n long, set binary, sid long")
     rows = written(spark, rows, "jaccard-sets")
-    classes = rows.filter("n > 0").groupBy("set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min(F.struct(*key)).alias("row"))
+    classes = rows.filter("n > 0").groupBy("set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min(F.struct(*key)).alias("row"), F.first("sid").alias("sid"), F.first("n").alias("n"))
     classes = written(spark, classes, "jaccard-classes")
 
-    # one row a class signs, the least: the other copies' keys go to the rows, so that signatures stay in place
-    found = spread_join(rows.filter("n > 0").select(*key, "set"), classes.select("set", "copies", "row"), "set", "copies", F.struct(*key))
+    # One row a class signs, the least; rows repeated whole, and beyond MOST_BROADCAST all copies, sign again to no effect.
+    found = spread_join(rows.filter("n > 0").select(*key, "set"), classes.filter("copies > 1").select("set", "copies", "row"), "set", "copies", F.struct(*key))
     copies = written(spark, found.filter(F.struct(*key) != F.col("row")).select(*key).distinct(), "jaccard-copies")
-    signed = rows.filter("n > 0 and size(sigs) > 0").join(sized_broadcast(copies, MOST_BROADCAST), key, "left_anti").select("set", "sigs")
-    signed = written(spark, _held_signatures(spark, signed), "jaccard-signatures")
-    groups = signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig", "n", F.lit(True).alias("group"))
-    groups = written(spark, groups, "jaccard-groups")
-    held = spread_join(signed, groups, "sig", "n", F.col("set")).filter("group")
-    held = written(spark, held.select("set", "sig"), "jaccard-members")
-    sized = spread_join(held, groups.select("sig", "n", F.col("n").alias("others")), "sig", "n", F.col("set"))
-    weight = sized.groupBy("set").agg(F.sum("others").alias("weight"))
-    best = held.join(weight, "set").groupBy("sig").agg(F.count("*").alias("n"), F.min_by("set", F.struct(-F.col("weight"), F.col("set"))).alias("r"))
-    best = written(spark, best, "jaccard-representatives")
-    pairs = spread_join(held, best, "sig", "n", F.col("set")).filter("set <> r").select(F.col("set").alias("x"), "r").distinct()
-    pairs = written(spark, pairs, "jaccard-pairs")
-
-    # Fragments of the classes in any pair, from one row each; texts of other documents are read but not shuffled.
-    involved = pairs.select(F.col("x").alias("set")).union(pairs.select("r")).distinct()
-    wanted = classes.join(involved, "set", "left_semi").select("row.*")
-    wanted = written(spark, wanted, "jaccard-wanted")
-    again = rows.drop("sigs").join(sized_broadcast(wanted, MOST_BROADCAST), key, "left_semi").count() > wanted.count()
-    parts = body.join(sized_broadcast(wanted, MOST_BROADCAST), key, "left_semi").select("text").mapInArrow(fragments(width), "set binary, fragment int, hashes array<long>")
-    parts = written(spark, parts, "jaccard-fragments")
-    parts = parts.dropDuplicates(["set", "fragment"]) if again else parts  # rows repeated whole
-    place = lambda s: F.concat(F.col(s), F.encode(F.col("fragment").cast("string"), "UTF-8"))
-    own = pairs.join(parts, pairs["x"] == parts["set"]).select("x", "r", "fragment", F.col("hashes").alias("hx"), place("r").alias("place"))
-    theirs = pairs.groupBy("r").agg(F.count("*").alias("n")).join(parts, F.col("r") == parts["set"]).select(place("r").alias("place"), "n", F.col("hashes").alias("hr"))
-    theirs = written(spark, theirs, "jaccard-representative-fragments")
-    # Representatives of few bytes, counted first, go to the members, which then stay where they are; else both meet by hash.
-    few = (theirs.agg(F.sum(F.size("hr") * 8 + 64)).first()[0] or 0) <= MOST_BYTES
-    met = own.join(F.broadcast(theirs.drop("n")), "place") if few else spread_join(own, theirs, "place", "n", F.col("x"))
+    few = copies.count() <= MOST_BROADCAST
+    signing = (body.join(F.broadcast(copies), key, "left_anti") if few else body).select("text")
+    again = not few or rows.filter("n > 0").join(F.broadcast(copies), key, "left_anti").count() > classes.count()
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    known = repeated_tokens(spark, signing, _all_signatures(width, bands), total)
+    signed = signing.mapInArrow(_shared_signatures(width, bands, known), "x long, sig long")
+    pairs = _star_pairs(spark, written(spark, signed.distinct() if again else signed, "jaccard-signatures"))
+
+    # Fragments of the classes in any pair, from one row each; texts are read again but not shuffled.
+    involved = written(spark, pairs.select(F.col("x").alias("token")).union(pairs.select("r")).distinct(), "jaccard-involved")
+    parts = written(spark, signing.mapInArrow(fragments(width, BitMap(spark, involved)), "sid long, fragment int, hashes array<long>"), "jaccard-fragments")
+    parts = parts.dropDuplicates(["sid", "fragment"]) if again else parts
     # Partial overlaps by fragment, then their sums per pair.
-    partial = met.select("x", "r", F.size("hx").alias("nx"), F.size("hr").alias("nr"), F.size(F.array_intersect("hx", "hr")).alias("overlap"), F.array_except("hx", "hr").alias("added"), F.array_except("hr", "hx").alias("missing"))
-    deltas = partial.groupBy("x", "r").agg(F.sum("nx").alias("nx"), F.sum("nr").alias("nr"), F.sum("overlap").alias("overlap"), F.flatten(F.collect_list("added")).alias("added"), F.flatten(F.collect_list("missing")).alias("missing"))
-    linked = F.col("overlap") * 100 >= (F.col("nx") + F.col("nr") - F.col("overlap")) * percent
-    deltas = deltas.select("x", "r", "nx", "nr", F.size("added").alias("n_added"), F.concat("added", "missing").alias("delta"), linked.alias("linked"))
-    deltas = written(spark, deltas, "jaccard-differences")
-
-    links = deltas.filter("linked").select(F.col("x").alias("a"), F.col("r").alias("b")).union(_family_links(spark, deltas, percent))
+    partial = written(spark, _overlaps(spark, pairs, parts), "jaccard-overlaps")
+    size = partial.agg(F.sum(F.size("added") + F.size("missing"))).first()[0] or 0
+    kept = written(spark, partial.mapInArrow(_only_repeated(repeated_tokens(spark, partial, _both_tokens, size)), "x long, r long, fragment int, nx int, nr int, n_delta long, added array<long>, missing array<long>"), "jaccard-common-differences")
+    sums = [F.sum(c).alias(c) for c in ("nx", "nr", "n_delta")]
+    stats = kept.groupBy("x", "r").agg(*sums, F.sum(F.size("added") + F.size("missing")).alias("d"), F.collect_list(F.struct("fragment", F.size("added").alias("added"), F.size("missing").alias("missing"))).alias("sizes"))
+    stats = written(spark, stats.withColumn("linked", F.col("n_delta") * (100 + percent) <= (F.col("nx") + F.col("nr")) * (100 - percent)), "jaccard-pair-sums")
+
+    links = stats.filter("linked").select(F.col("x").alias("a"), F.col("r").alias("b")).union(_member_links(spark, kept, stats, percent))
     roots = components(spark, links)
-    member = written(spark, classes.select("set", "copies", "class_id").join(roots, F.col("set") == F.col("v"), "left").select("set", "copies", "class_id", F.coalesce("root", "set").alias("root")), "jaccard-roots")
+    root = F.coalesce(F.hex("root"), F.hex("set")).alias("root")
+    member = written(spark, classes.select("set", "sid", "copies", "class_id").join(roots, F.col("sid") == F.col("v"), "left").select("set", "copies", "class_id", root), "jaccard-roots")
     smallest = written(spark, member.groupBy("root").agg(F.count("*").alias("n"), F.min("class_id").alias("component_id")), "jaccard-components")
     of_class = written(spark, spread_join(member, smallest, "root", "n", F.col("set")).select("set", "copies", "class_id", "component_id", "root"), "jaccard-class-components")
     out = spread_join(rows.select("doc_id", "_text_hash", "n", "set"), of_class, "set", "copies", F.struct("doc_id", "_text_hash"))
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("_text_hash").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.hex("root").alias("group_id"))
+    return out.select("doc_id", F.col("_text_hash").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("root").alias("group_id"))
