@@ -56,33 +56,34 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, phrases: dict[str, str]
     pairs on diagonals of which neighbours differ by ``max_shift`` at most, at distinct template positions, within 1.5 times its length.
     ``score`` is the largest share of a verified span, 0 without any; ``spans`` the spans (label, first word, last word, share).
 
-    Null and empty texts have no words: counts 0, first and last null, labels ''. Rows with equal doc_id (null included)
-    are one document, whose counts add up; other columns than doc_id and text are not carried. One scan, one shuffle, of
-    hits and one row a document; the pairs of a text never leave its task.
+    Null and empty texts have no words: counts 0, first and last null, labels ''. Each row is a document of its own, also
+    where ids are null or repeated; other columns than doc_id and text are not carried, whatever their names; an empty table
+    gives an empty result. One scan, one shuffle by row, of hits and one row a document; the pairs of a text never leave its task.
     """
     pairs = template_pairs(spark, PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), _BETWEEN), "").alias("words")
-    rolled = docs.select("doc_id", words).select("doc_id", F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))).alias("pos", "pair"))
-    rolled = rolled.select("doc_id", "pos", fold_az(F.col("pair.a")).alias("a"), fold_az(F.col("pair.b")).alias("b"))
+    own = F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc")  # by partition and place: the same when a task runs again
+    rolled = docs.select(own, words).select("doc", F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))).alias("pos", "pair"))
+    rolled = rolled.select("doc", "pos", fold_az(F.col("pair.a")).alias("a"), fold_az(F.col("pair.b")).alias("b"))
     # The last pair of a text lacks its second word and matches nothing: it stays as the row that states the number of words.
     hits = rolled.join(pairs, (F.xxhash64("a", "b") == F.col("pair_hash")) & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")) & F.col("b").isNotNull(), "left")
     hits = hits.filter(F.col("template").isNotNull() | F.col("b").isNull())
-    hits = hits.select("doc_id", F.coalesce("template", F.lit(-1)).alias("template"), "label", "exact", "pairs", "at", F.coalesce("pos", F.lit(-1)).alias("pos"), (F.col("pos") - F.col("at")).alias("diagonal"))
-    hits = hits.repartition("doc_id")
+    hits = hits.select("doc", F.coalesce("template", F.lit(-1)).alias("template"), "label", "exact", "pairs", "at", F.coalesce("pos", F.lit(-1)).alias("pos"), (F.col("pos") - F.col("at")).alias("diagonal"))
+    hits = hits.repartition("doc")
 
-    votes = hits.groupBy("doc_id", "template", "label", "exact", "pairs", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("ats"), F.sum(F.when(F.col("template") < 0, F.col("pos").cast("long") + 1)).alias("words"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    votes = hits.groupBy("doc", "template", "label", "exact", "pairs", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("ats"), F.sum(F.when(F.col("template") < 0, F.col("pos").cast("long") + 1)).alias("words"))
+    order = Window.partitionBy("doc", "template").orderBy("diagonal")
     # A diagonal joins its neighbour if it is near by and their words lie within one template's length.
     near = (F.col("diagonal") - F.lag("diagonal").over(order) <= max_shift) & ~F.col("exact") & (F.abs(F.col("lo") - F.lag("lo").over(order)) <= F.col("pairs"))
     merged = votes.withColumn("start", F.when(near, 0).otherwise(1)).withColumn("band", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("doc_id", "template", "label", "exact", "pairs", "band").agg(
+    spans = merged.groupBy("doc", "template", "label", "exact", "pairs", "band").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("found"), F.min("lo").alias("lo"), (F.max("hi") + 1).alias("hi"), F.sum("words").alias("words")
     )
     share = F.col("found") / F.col("pairs")
     verified = F.when(F.col("exact"), share == 1).otherwise((share >= min_share) & (F.col("hi") - F.col("lo") <= F.ceil(F.col("pairs") * 1.5)))
     base = verified & F.col("exact")
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    return spans.groupBy("doc_id").agg(
+    return spans.groupBy("doc").agg(
         F.coalesce(F.sum("words"), F.lit(0)).alias("n_words"),
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("lo"))).cast("long").alias("first_word"),
@@ -91,4 +92,4 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, phrases: dict[str, str]
         labels(verified).alias("labels"),
         F.coalesce(F.max(F.when(verified, share)), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(verified, F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"), "label", share.alias("share"))))).alias("spans"),
-    )
+    ).select("doc.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
