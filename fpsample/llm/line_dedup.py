@@ -1,59 +1,41 @@
-"""Line dedup: explode normalised lines, hash, count distinct documents per hash, drop frequent lines, reassemble by position."""
+"""Line dedup: explode normalised lines, hash, count distinct documents per hash, drop frequent lines, reassemble by position.
 
-from __future__ import annotations
+All of it is in built-in functions. A line's hash is 128 bits: two xxhash64 of its key, one of them seeded.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fpsample.llm.common import SPACE, boxed, fold_az, prepare, row_key, spread_join, unboxed, written
+from fpsample.llm.common import LOWER, SPACE, UPPER, boxed, prepare, row_key, spread_join, unboxed, written
 
 #: Keys in at least so many documents lose their lines.
 MIN_DOCUMENTS = 10
+#: Rows of dropped positions, counted first, that are broadcast to their documents at most (some 20 MB); beyond these both meet by hash.
+MOST_BROADCAST = 100_000
+
+
+def line_key(line: Column) -> Column:
+    """A line with white space (blank, 0x09 to 0x0D) stripped at both ends and A-Z in lower case."""
+    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+
+
+def split_lines(text: Column) -> Column:
+    """A text's lines; null or empty texts have one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def without(text: Column, dropped: Column) -> Column:
+    """The text without the lines at ``dropped`` (an array of positions, ascending): the runs of lines between them are sliced out and joined, so the cost is the text's length."""
+    edges = F.concat(F.array(F.lit(-1)), dropped)
 
+    def kept(lines: Column) -> Column:
+        ends = F.concat(dropped, F.array(F.size(lines)))
+        runs = F.transform(F.arrays_zip(edges.alias("a"), ends.alias("b")), lambda r: F.slice(lines, r["a"] + 2, r["b"] - r["a"] - 1))
+        return F.array_join(F.flatten(runs), "\n")
 
-def line_key(line: str) -> str:
-    return fold_az(line.strip(SPACE))
-
-
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    digest = xxhash.xxh3_128_digest
-    for b in batches:
-        row: list[int] = []
-        pos: list[int] = []
-        keys: list[bytes] = []
-        first: list[bool] = []
-        for i, text in enumerate(b["text"]):
-            seen: set[bytes] = set()
-            for p, line in enumerate((text or "").split("\n")):
-                if k := line_key(line):
-                    h = digest(k.encode())
-                    row.append(i)
-                    pos.append(p)
-                    keys.append(h)
-                    first.append(h not in seen)
-                    seen.add(h)
-        out = b[["_no_id", "_id", "_text_hash"]].iloc[row].reset_index(drop=True)
-        yield out.assign(pos=pd.array(pos, "int32"), line=keys, first=first)
-
-
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        kept, n_lines, n_dropped = [], [], []
-        for text, drop in zip(b.column("text").to_pylist(), b.column("_dropped").to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            gone = set(drop or ())
-            kept.append("\n".join(x for p, x in enumerate(lines) if p not in gone) if gone else text or "")
-            n_lines.append(len(lines))
-            n_dropped.append(len(gone))
-        names = b.schema.names
-        own = [pa.array(kept, pa.string()) if c == "text" else b.column(c) for c in names if c != "_dropped"]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(c for c in names if c != "_dropped"), "_n_lines", "_n_dropped"])
+    return F.transform(F.array(split_lines(text)), kept)[0]
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -61,19 +43,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_documents: int = MIN_D
 
     Takes any columns besides ``doc_id`` and ``text`` and returns all of them, ``text`` reassembled, with ``n_lines`` (before)
     and ``n_dropped``; columns of these names in the input are replaced. Null or empty texts are one empty line; empty keys
-    are never dropped. Every row counts as a document, so rows repeated whole count each; null ids are told apart by text.
-    An empty table gives an empty result. Documents left without lines have the text ''.
+    are never dropped. A document is a doc_id: rows of one id count once, whether alike or not; rows without an id are told
+    apart by their text. An empty table gives an empty result. Documents left without lines have the text ''.
     """
     prepare(spark)
     body, names = boxed(docs, ("n_lines", "n_dropped"))
     key = ["_no_id", "_id", "_text_hash"]
     body = body.withColumns(row_key())
-    lines = body.select(*key, "text").mapInPandas(_explode, "_no_id boolean, _id long, _text_hash long, pos int, line binary, first boolean")
-    frequent = lines.filter("first").groupBy("line").agg(F.count("*").alias("documents"), F.lit(True).alias("hit")).filter(F.col("documents") >= min_documents)
-    frequent = written(spark, frequent, "frequent-lines")
-    hits = spread_join(lines.drop("first"), frequent, "line", "documents", F.struct("_id", "_text_hash", "pos"), parts=10_000).filter("hit")
-    dropped = hits.groupBy(*key).agg(F.collect_set("pos").alias("_dropped"))
-    whole = body.join(dropped, key, "left").drop(*key)
-    schema = T.StructType([*(x for x in whole.schema if x.name != "_dropped"), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    made = whole.mapInArrow(_reassemble, schema)
+    lines = body.select(*key, F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.select(*key, "pos", line_key(F.col("line")).alias("line")).filter("line <> ''")
+    lines = lines.select(*key, "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b")).alias("line"))
+    # Distinct documents per line: a row's own repeats go first, inside its task; then pairs of line and document, which no line gathers.
+    document = F.when(F.col("_no_id"), F.col("_text_hash")).otherwise(F.col("_id"))
+    pairs = lines.select("line", "_no_id", document.alias("document")).distinct()
+    frequent = pairs.groupBy("line").agg(F.count("*").alias("documents")).filter(F.col("documents") >= min_documents)
+    frequent = written(spark, frequent.withColumn("hit", F.lit(True)), "frequent-lines")
+    hits = spread_join(lines, frequent, "line", "documents", F.struct("_id", "_text_hash", "pos")).filter("hit")
+    dropped = written(spark, hits.groupBy(*key).agg(F.array_sort(F.collect_set("pos")).alias("_dropped")), "dropped-lines")
+    few = dropped.agg(F.count("*") <= MOST_BROADCAST, F.coalesce(F.max(F.size("_dropped")), F.lit(0)) <= 1000).first()
+    whole = body.join(F.broadcast(dropped) if all(few) else dropped, key, "left").drop(*key)
+    gone = F.col("_dropped").isNotNull()
+    made = whole.withColumns({
+        "_n_lines": F.size(split_lines(F.col("text"))).cast("long"),
+        "_n_dropped": F.when(gone, F.size("_dropped")).otherwise(0).cast("long"),
+        "text": F.when(gone, without(F.col("text"), F.col("_dropped"))).otherwise(F.coalesce("text", F.lit(""))),
+    })
     return unboxed(made, names, {"n_lines": F.col("_n_lines"), "n_dropped": F.col("_n_dropped")})
