@@ -133,7 +133,7 @@ def compare_neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the next
     document's, by descending doc_id, null last, ties by the text's SHA-256; after the last row comes the first. Null texts
     are empty; one row alone follows itself; repeated rows each stand in the order; an empty table gives an empty result.
-    Texts move in one range-partitioned shuffle; each partition reads its rows in order, and only the partitions' first and
+    Columns besides doc_id and text are not carried. Texts move in one range-partitioned shuffle, ids and then digests; each partition reads its rows in order, and only the partitions' first and
     last rows, two a partition, meet in a window.
     """
     prepare(spark)
@@ -141,7 +141,7 @@ def compare_neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     schema = ", ".join(f"{n} {kinds[k]}" for n, k in _FIELDS)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256)]
-    ranged = text.repartitionByRange(F.col("doc_id").desc_nulls_last())
+    ranged = text.repartitionByRange(*order)
     seen = written(spark, ranged.sortWithinPartitions(*order).mapInArrow(_neighbours, schema), "neighbours")
 
     ends = seen.filter("end is not null").select("doc_id", "end", "end_key", "end_text")
@@ -153,10 +153,17 @@ def compare_neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = ends.filter(F.col("end") == "first").select(F.col("end_text").alias("following"), F.col("end_key").alias("first_key"))
     closed = lasts.join(pairs, "last_key").join(firsts.dropDuplicates(["first_key"]), "first_key").select("doc_id", "text", "following").mapInArrow(_joined_ends, schema)
     rows = seen.filter("end is null").unionByName(closed).drop("end", "end_key", "end_text")
-    rows = rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha", "bucket", "sha", "e_bucket", "e_sha")})
-
-    repeated = written(spark, rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "repeated-buckets")
-    bad = written(spark, collisions(spark, docs, repeated), "collisions")
-    bad = sized_broadcast(bad.withColumnRenamed("bucket", "_bad"), MOST_BROADCAST)
-    rows = rows.join(bad, rows["bucket"] == bad["_bad"], "left")
-    return rows.select("doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), _name("bucket", "sha").alias("fingerprint"), _name("e_bucket", "e_sha").alias("edited_fingerprint"), "near_edited", "near_next")
+    hexed = {c: F.lower(F.hex(c)) for c in ("edited_sha", "bucket", "sha", "e_bucket", "e_sha")}
+    bad = written(spark, collided(spark, docs, rows), "collisions").select(F.lower(F.hex("bucket")).alias("_bad"))
+    own, edited = sized_broadcast(bad, MOST_BROADCAST), sized_broadcast(bad.withColumnRenamed("_bad", "_e_bad"), MOST_BROADCAST)
+    rows = rows.withColumns(hexed).join(own, F.col("bucket") == F.col("_bad"), "left").join(edited, F.col("e_bucket") == F.col("_e_bad"), "left")
+    return rows.select("doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), _name("bucket", "sha").alias("fingerprint"), _name("e_bucket", "e_sha", "_e_bad").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def collided(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Buckets (binary) of rows (bucket, sha, e_bucket, e_sha) that hold different texts: documents' by their bytes, and edited texts', whose bytes are not kept, by their SHA-256."""
+    both = rows.select("bucket", "sha", F.lit(1).alias("n")).union(rows.select("e_bucket", "e_sha", F.lit(0)))
+    met = both.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("sha").alias("least"), F.max("sha").alias("most")).filter("n > 1 or least <> most")
+    met = written(spark, met.select("bucket", "n", (F.col("least") != F.col("most")).alias("differ")), "repeated-buckets")
+    by_bytes = collisions(spark, docs, met.filter("n > 1").select(F.lower(F.hex("bucket")).alias("bucket")))
+    return by_bytes.select(F.unhex("bucket").alias("bucket")).union(met.filter("differ").select("bucket")).distinct()
