@@ -8,7 +8,7 @@ import pytest
 from fpsample.llm import pii
 from fpsample.llm.language import document_evidence, identify, page_evidence
 from fpsample.llm.license_scan import scan_licenses
-from fpsample.llm.line_dedup import dedup_lines, line_key
+from fpsample.llm.line_dedup import dedup_lines
 from fpsample.llm.sentencepieces import chunks, decode_ids, default_model, encode_texts, load
 
 
@@ -132,16 +132,22 @@ def brute_scan(text):
 
 
 def test_license_base_as_brute_force(spark, documents, odd, none):
-    for df in (documents.select("doc_id", "text"), odd.filter("doc_id is not null and doc_id <> 5").select("doc_id", "text")):
-        texts = {r.doc_id: r.text for r in df.collect()}
+    for df in (documents, odd):
         got = scan_licenses(spark, df).collect()
-        assert len(got) == len(texts)
+        want = Counter((r.doc_id, *brute_scan(r.text)) for r in df.collect())
+        assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
         for r in got:
-            assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_scan(texts[r.doc_id]), r.doc_id
             assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
     assert scan_licenses(spark, none).count() == 0
 
 
+def test_rows_of_one_id_are_scanned_apart(spark):
+    rows = [(1, "x general public"), (1, "y z public license"), (2, "cc by one"), (2, "cc by one"), (None, "all rights"), (None, "reserved")]
+    got = scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, *brute_scan(t)) for r, t in zip(spark.createDataFrame(rows, "doc_id long, text string").collect(), [t for _, t in rows], strict=True)) == Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got)
+    assert sum(r.n_base for r in got) == 2
+
+
 def test_license_templates_bear_edits(spark):
     rows = [
         (1, "xx Licensed under the Apache License, Version 2.0 yy"),
@@ -155,23 +161,45 @@ def test_license_templates_bear_edits(spark):
 
 
 # -- lines ---------------------------------------------------------------------------------------------
-def brute_lines(texts, least):
-    docs = [(t or "").split("\n") for t in texts]
-    n = Counter(k for d in docs for k in {line_key(x) for x in d} if k)
-    return [(len(d), sum(n[line_key(x)] >= least for x in d), "\n".join(x for x in d if n[line_key(x)] < least)) for d in docs]
+def brute_key(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
+
+def brute_lines(rows, least):
+    docs = [(t or "").split("\n") for _, t in rows]
+    held = {}
+    for (i, t), d in zip(rows, docs, strict=True):
+        for x in d:
+            held.setdefault(brute_key(x), set()).add((i, t if i is None else ""))
+    n = {k: len(v) if k else 0 for k, v in held.items()}
+    return [(len(d), sum(n[brute_key(x)] >= least for x in d), "\n".join(x for x in d if n[brute_key(x)] < least)) for d in docs]
 
 
 @pytest.mark.parametrize("least", [2, 10])
 def test_lines_as_brute_force(spark, documents, odd, none, least):
     for df in (documents, odd):
         rows = df.collect()
-        want = Counter((r.doc_id, *x) for r, x in zip(rows, brute_lines([r.text for r in rows], least), strict=True))
+        want = Counter((r.doc_id, *x) for r, x in zip(rows, brute_lines([(r.doc_id, r.text) for r in rows], least), strict=True))
         out = dedup_lines(spark, df, least)
         assert out.columns == [*(c for c in df.columns if c != "n_lines"), "n_lines", "n_dropped"]
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()) == want
     assert dedup_lines(spark, none).count() == 0
 
 
+def test_lines_of_every_shape(spark):
+    rng = random.Random(4)
+    lines = ["", " ", "\t A \x0b", "a", "B", "b\r", "É", "é", "x" * 5000, "\u00a0", "c  d", "C  D ", "\x1c", "🙂"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(12)))) for i in range(120)] + [(500, "\n".join(rng.choice([*lines, f"own {k}"]) for k in range(20_000)))]
+    got = dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 30)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == Counter((r[0], *x) for r, x in zip(rows, brute_lines(rows, 30), strict=True))
+
+
+def test_documents_are_counted_not_rows(spark):
+    rows = [(1, "line\nown")] * 10 + [(2, "line")]
+    got = dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.n_dropped, r.text) for r in got.collect()} == {(1, 0, "line\nown"), (2, 0, "line")}
+
+
 # -- languages ----------------------------------------------------------------------------------------
 def test_language_of_documents(spark, documents, odd, none):
     got = identify(spark, document_evidence(documents)).collect()
