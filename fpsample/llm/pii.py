@@ -119,14 +119,15 @@ _DISGUISED_DOMAIN = rf"(?:{_LABEL}(?:\.{_LABEL})*+{_DOT_WORD}{_MORE}{_TOP}\b|{_M
 _PLAIN_DOMAIN = rf"(?:(?!www\.){_LABEL}(?:\.{_LABEL}){{0,126}}?\.(?!{_ENDS}\b)(?-i:xn--[a-z0-9-]++|[a-z]{{2,63}}|[A-Z]{{2,63}})(?![\w/:@-]|\.\w))"
 #: One pass over a text without look-alikes: at and dot in brackets; bare "at" only before a domain; bare "dot" between parts; two or more digits in words.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_BEFORE}?{_OPEN}{_AFTER}(?:at|@){_AFTER}{_CLOSE}{_AFTER}|(?<=[a-z0-9_%+.-])\s++at\s++(?={_DISGUISED_DOMAIN})|{_BEFORE}@{_AFTER}(?=[a-z0-9])|@\s++(?={_DISGUISED_DOMAIN}|{_PLAIN_DOMAIN}))"
+    rf"(?P<at>{_BEFORE}?{_OPEN}{_AFTER}(?:at|@){_AFTER}{_CLOSE}{_AFTER}|(?<=[a-z0-9_%+.-])\s++at\s++(?={_DISGUISED_DOMAIN})|{_BEFORE}[-_]at[-_]\s++|{_BEFORE}@{_AFTER}(?=[a-z0-9])|@\s++(?={_DISGUISED_DOMAIN}|{_PLAIN_DOMAIN}))"
     rf"|(?P<bare>(?<=[a-z0-9_%+.-])\s++at\s++(?={_PLAIN_DOMAIN}))"
-    rf"|(?P<dot>{_DOT_WORD}(?=[a-z0-9]))"
-    rf"|(?P<digits>\b{_DIGIT_WORD}(?:[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b)+)",
+    rf"|(?P<dot>(?:{_DOT_WORD}|{_BEFORE}[-_]dot[-_]\s++)(?=[a-z0-9])|(?<=[a-z0-9])\s++\.\s*+(?=(?-i:[a-z])))"
+    rf"|(?P<digits>\b{_DIGIT_WORD}(?:(?:\s++dot\s++|{_AFTER}{_OPEN}{_AFTER}(?:dot|\.){_AFTER}{_CLOSE}{_AFTER}|[\s.-]++)(?:{_DIGIT_WORD}|[0-9])\b)+)",
     re.IGNORECASE,
 )
 #: What a text without any disguise lacks; most texts are done after this.
-_HINT = re.compile(rf"{_OPEN}{_AFTER}(?:at|@|dot|\.){_AFTER}{_CLOSE}|\sdot\s|\sat\s++{_LABEL}\.[a-z0-9]|\s@|@\s|\b{_DIGIT_WORD}[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b", re.IGNORECASE)
+_HINT = re.compile(rf"@{_LABEL}\s++\.|\s[-_](?:at|dot)[-_]\s|\b{_DIGIT_WORD}\s++dot\s|{_OPEN}{_AFTER}(?:at|@|dot|\.){_AFTER}{_CLOSE}|\sdot\s|\sat\s++{_LABEL}\.[a-z0-9]|\s@|@\s|\b{_DIGIT_WORD}[\s.-]++(?:{_DIGIT_WORD}|[0-9])\b", re.IGNORECASE)
+_DOT_GAP = re.compile(rf"dot|{_OPEN}", re.IGNORECASE)
 _PART = re.compile(rf"{_DIGIT_WORD}|[0-9]", re.IGNORECASE)
 
 
@@ -208,8 +209,8 @@ def normalise(text: str) -> Normalised | None:
                     parts = list(_PART.finditer(out.text, m.start(), m.end()))
                     for p, q in zip(parts, [*parts[1:], None], strict=True):
                         yield p.start(), p.end(), SPELLED.get(p[0].lower(), p[0])
-                        if q:
-                            yield p.end(), q.start(), ""
+                        if q:  # a dot in words stays one
+                            yield p.end(), q.start(), "." if _DOT_GAP.search(out.text, p.end(), q.start()) else ""
 
         out.rewrite(edits())
     elif not glyphs:

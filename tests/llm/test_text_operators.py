@@ -52,6 +52,46 @@ def test_disguises_map_to_the_source(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in spans if k == kind] == [(kind, found)]
 
 
+def luhn_number(rng, n):
+    d = [rng.randrange(10) for _ in range(n - 1)]
+    return next("".join(map(str, [*d, c])) for c in range(10) if (lambda x: (sum(x[-1::-2]) + sum(sum(divmod(2 * y, 10)) for y in x[-2::-2])) % 10 == 0)([*d, c]))
+
+
+def disguised(rng, kind):
+    """A made-up identifier of a kind, disguised: at and dots in words, brackets or blanks, digits in words, look-alikes."""
+    words = list(pii.SPELLED)
+    name = lambda: "".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(rng.randrange(3, 9)))
+    if kind == "email":
+        at = rng.choice([" [at] ", "(at)", " {at} ", " (@) ", " @ ", " AT ", " at ", " -at- ", "\uff20"])
+        dot = rng.choice([" [dot] ", "(dot)", " DOT ", " dot ", "[.]", "\uff0e"] + [" . "] * ("@" in at))
+        return f"{name()}.{name()}{at}{name()}{dot if rng.random() < 0.7 else '.'}{name()}{dot}{rng.choice(['com', 'org', 'pl', 'io', 'co.uk', 'museum'])}"
+    if kind == "ip":
+        dot = rng.choice([" dot ", "[.]", "(dot)", " [dot] "])
+        spelled = rng.random() < 0.5
+        return dot.join(" ".join(words[int(c)] for c in str(x)) if spelled else str(x) for x in (rng.randrange(256) for _ in range(4)))
+    digits = luhn_number(rng, rng.randrange(14, 20)) if kind == "card" else "".join(str(rng.randrange(10)) for _ in range(rng.randrange(10, 14)))
+    style = rng.randrange(3)
+    if style == 0:
+        body = " ".join(words[int(c)] for c in digits)
+    elif style == 1:  # full-width digits
+        body = "".join(chr(0xFF10 + int(c)) for c in digits)
+    else:  # invisible code points between
+        body = "\u200b".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return body if kind == "card" else "+" + digits[0] + " " + body[len(words[int(digits[0])]) + 1 :] if style == 0 else "+" + body
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_recall_of_disguises(kind):
+    rng = random.Random(kind)
+    caught = 0
+    for _ in range(600):
+        span = disguised(rng, kind)
+        text = f"{rng.choice(['write to', 'Contact:', 'é ñ see'])} {span}{rng.choice([' today', '!', ' \nregards'])}"
+        at = text.index(span)
+        caught += (kind, at, at + len(span)) in pii.disguised_spans(text, pii.plain_spans(text))
+    assert caught >= 0.9 * 600, caught
+
+
 def test_plain_prose_has_no_disguised_spans(documents):
     for t in ("we met at noon at the dot of twelve", "at one or two places, one two three", "a . b @ c", *(r.text for r in documents.collect())):
         assert all(any(c in t for c in "@+0123456789") or s is None for s in pii.disguised_spans(t, pii.plain_spans(t))), t
