@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
 def squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances, (points, centres)."""
-    return ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    out = np.zeros((len(points), len(centres)))
+    for axis in range(points.shape[1]):
+        out += (points[:, axis, None] - centres[None, :, axis]) ** 2
+    return out
 
 
 def kmeans(points: np.ndarray, k: int, seed: int = 0, centres: np.ndarray | None = None, starts: int = 10, tol: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -18,9 +23,10 @@ def kmeans(points: np.ndarray, k: int, seed: int = 0, centres: np.ndarray | None
     limit = tol * points.var(axis=0).mean()
     for _ in range(1 if centres is not None else starts):
         c = np.array(centres, float) if centres is not None else points[[rng.integers(len(points))]]
+        near = squares(points, c).min(axis=1)
         while len(c) < k:
-            d = squares(points, c).min(axis=1)
-            c = np.vstack([c, points[rng.choice(len(points), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(points))]])
+            c = np.vstack([c, points[rng.choice(len(points), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(points))]])
+            near = np.minimum(near, squares(points, c[-1:])[:, 0])
         for _ in range(rounds):
             d = squares(points, c)
             labels = d.argmin(axis=1)
@@ -135,28 +141,55 @@ def one_boundary(points: np.ndarray, size: np.ndarray, member: np.ndarray, centr
     return member, centres
 
 
+class _Moves:
+    """The cheapest point to move from each cluster to each other one, ties to the lower point, kept up to date as points move: points are sorted once for each pair of clusters, later arrivals stand in heaps, and points gone are passed over."""
+
+    def __init__(self, d: np.ndarray, labels: np.ndarray):
+        self.d, self.labels, self.k = d, labels, d.shape[1]
+        self.cost, self.who = np.full((self.k, self.k), np.inf), np.zeros((self.k, self.k), int)
+        self.own = [np.flatnonzero(labels == a) for a in range(self.k)]
+        self.order = [np.argsort(d[own] - d[own, a][:, None], axis=0, kind="stable") for a, own in enumerate(self.own)]
+        self.at = np.zeros((self.k, self.k), int)
+        self.arrived: list[list[list[tuple[float, int]]]] = [[[] for _ in range(self.k)] for _ in range(self.k)]
+        for a in range(self.k):
+            for b in range(self.k):
+                self._seek(a, b)
+
+    def _seek(self, a: int, b: int) -> None:
+        if a == b:
+            return
+        best, own, order, heap = (np.inf, 0), self.own[a], self.order[a], self.arrived[a][b]
+        while self.at[a, b] < len(own) and self.labels[own[order[self.at[a, b], b]]] != a:
+            self.at[a, b] += 1
+        if self.at[a, b] < len(own):
+            i = int(own[order[self.at[a, b], b]])
+            best = (float(self.d[i, b] - self.d[i, a]), i)
+        while heap and self.labels[heap[0][1]] != a:
+            heapq.heappop(heap)
+        self.cost[a, b], self.who[a, b] = min(best, heap[0]) if heap else best
+
+    def move(self, i: int, b: int) -> None:
+        a = int(self.labels[i])
+        self.labels[i] = b
+        for c in range(self.k):
+            if self.who[a, c] == i:
+                self._seek(a, c)
+            if c != b:
+                heapq.heappush(self.arrived[b][c], (float(self.d[i, c] - self.d[i, b]), int(i)))
+                self._seek(b, c)
+
+
 def capacitated(points: np.ndarray, centres: np.ndarray, least: int, most: int) -> np.ndarray:
     """Labels of least cost under cluster sizes between least and most: from the nearest centres, one point at a time along the cheapest path of moves from a cluster too large (or with some to spare) to one too small (or with room)."""
     d = squares(points, centres)
     k = len(centres)
     labels = d.argmin(axis=1)
     n = np.bincount(labels, minlength=k)
-
-    def cheapest() -> tuple[np.ndarray, np.ndarray]:
-        cost, who = np.full((k, k), np.inf), np.zeros((k, k), int)
-        for a in range(k):
-            own = np.flatnonzero(labels == a)
-            if len(own):
-                step = d[own] - d[own, a][:, None]
-                at = step.argmin(axis=0)
-                cost[a], who[a] = step[at, np.arange(k)], own[at]
-                cost[a, a] = np.inf
-        return cost, who
-
+    moves = _Moves(d, labels) if (n > most).any() or (n < least).any() else None
     while (n > most).any() or (n < least).any():
         source = n > most if (n > most).any() else n > least
         target = n < least if (n < least).any() else n < most
-        cost, who = cheapest()
+        cost, who = moves.cost, moves.who
         dist, via = np.where(source, 0.0, np.inf), np.full(k, -1)
         for _ in range(k - 1):
             through = dist[:, None] + cost
@@ -172,9 +205,8 @@ def capacitated(points: np.ndarray, centres: np.ndarray, least: int, most: int)
         path = [end]
         while via[path[-1]] >= 0 and len(path) <= k:
             path.append(int(via[path[-1]]))
-        moves = [(who[a, b], b) for a, b in zip(path[1:], path[:-1], strict=True)]
-        for point, b in moves:
-            labels[point] = b
+        for point, b in [(int(who[a, b]), b) for a, b in zip(path[1:], path[:-1], strict=True)]:
+            moves.move(point, b)
         n[path[-1]] -= 1
         n[end] += 1
     return labels

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fpsample.plans.recipes import quantiles
+
 
 def minmax(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled to [0, 1]; constants become 0."""
@@ -66,20 +68,21 @@ def repaired(left: DataFrame, left_order: list[str], right: DataFrame, right_ord
 
 def describe(df: DataFrame, by: str, value: str) -> DataFrame:
     """count, mean, std, min, quartiles and max of each group."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max"))
+    moments = df.groupBy(by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, [by], value, [0.25, 0.5, 0.75])
+    return moments.join(q, by, "left").select(by, "count", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def without_outliers(df: DataFrame, column: str, coefficient: float, by: str) -> DataFrame:
     """Rows within coefficient interquartile ranges of their group's quartiles."""
-    q = df.groupBy(by).agg(F.percentile(column, F.lit(0.25)).alias("_q1"), F.percentile(column, F.lit(0.75)).alias("_q3"))
+    q = quantiles(df, [by], column, [0.25, 0.75]).withColumnsRenamed({"q0": "_q1", "q1": "_q3"})
     room = coefficient * (F.col("_q3") - F.col("_q1"))
-    return df.join(F.broadcast(q) if q.limit(100_001).count() <= 100_000 else q, by).filter(F.col(column).between(F.col("_q1") - room, F.col("_q3") + room)).select(*df.columns)
+    return df.join(q, by).filter(F.col(column).between(F.col("_q1") - room, F.col("_q3") + room)).select(*df.columns)
 
 
 def boxplot(df: DataFrame, by: str, value: str, coefficient: float = 1.5) -> DataFrame:
     """Quartiles, whiskers and number of outliers of each group."""
-    q = describe(df, by, value).select(by, "q25", "q50", "q75")
+    q = quantiles(df, [by], value, [0.25, 0.5, 0.75]).withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
     room = coefficient * (F.col("q75") - F.col("q25"))
     inside = F.col(value).between(F.col("q25") - room, F.col("q75") + room)
     return df.join(q, by).groupBy(by, "q25", "q50", "q75").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count(F.when(~inside, 1)).alias("outliers"))

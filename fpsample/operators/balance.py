@@ -51,17 +51,31 @@ def moran(units: DataFrame, samples: DataFrame, coords: list[str], neighbours: D
 
 
 def inclusion_neighbours(units: DataFrame, coords: list[str], radius: float, pi: str = "pi") -> DataFrame:
-    """Neighbour weights (i, j, w): the nearest units of i within radius until their mass with pi_i reaches one, the last in part; pairs come from a cell join."""
+    """Neighbour weights (i, j, w): the nearest units of i until their mass with pi_i reaches one, the last in part.
+
+    Pairs come from a cell join. ``radius`` is where the search begins: units that do not reach one within it search again
+    within twice the radius, until they do or all units are inside. So the radius changes the cost, not the result.
+    """
     from pyspark.sql import Window
 
-    from fpsample.plans.recipes import cell_neighbours
+    from fpsample.plans.recipes import cell_neighbours, cut
 
-    cols = ["unit_id", pi, *coords]
-    pairs = cell_neighbours(units.select(cols), units.select(cols), coords, radius).filter("a_unit_id <> b_unit_id")
+    every = cut(units.select("unit_id", pi, *coords))
+    ends = every.agg(*[(F.max(c) - F.min(c)).alias(c) for c in coords]).first()
+    span = 1.001 * sum((ends[c] or 0.0) ** 2 for c in coords) ** 0.5 + 1e-9
     w = Window.partitionBy("a_unit_id").orderBy("d2", "b_unit_id").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum(f"b_{pi}").over(w) - F.col(f"b_{pi}")
-    room = 1 - F.col(f"a_{pi}") - before
-    return pairs.select(F.col("a_unit_id").alias("i"), F.col("b_unit_id").alias("j"), F.greatest(F.least(F.col(f"b_{pi}"), room), F.lit(0.0)).alias("w")).filter("w > 0")
+    pending, found = every, None
+    while True:
+        pairs = cell_neighbours(pending, every, coords, radius).filter("a_unit_id <> b_unit_id").withColumn("_upto", F.sum(f"b_{pi}").over(w))
+        room = 1 - F.col(f"a_{pi}") - (F.col("_upto") - F.col(f"b_{pi}"))
+        near = cut(pairs.select(F.col("a_unit_id").alias("i"), F.col("b_unit_id").alias("j"), F.greatest(F.least(F.col(f"b_{pi}"), room), F.lit(0.0)).alias("w"), (F.col("_upto") + F.col(f"a_{pi}") >= 1).alias("_full")))
+        full = near.filter("_full").select("i").distinct()
+        kept = near if radius > span else near.join(full, "i", "left_semi")
+        found = kept if found is None else found.union(kept)
+        pending = cut(pending.join(full, pending["unit_id"] == full["i"], "left_anti"))
+        if radius > span or pending.isEmpty():
+            return found.filter("w > 0").select("i", "j", "w")
+        radius *= 2
 
 
 def scores(units: DataFrame, samples: DataFrame, coords: list[str], k: int, radius: float) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fpsample.functions import kernels as K
@@ -125,7 +125,8 @@ def update_centroids(member: DataFrame, units: DataFrame, coords: list[str]) ->
 def stabilised(member: DataFrame, digits: int) -> DataFrame:
     """Masses rounded (ties to even), then each cluster rescaled to 1."""
     r = member.withColumn("_m", F.bround("mass", digits))
-    return r.withColumn("mass", F.col("_m") / F.sum("_m").over(Window.partitionBy("cluster_id"))).drop("_m")
+    total = r.groupBy("cluster_id").agg(F.sum("_m").alias("_t"))
+    return r.join(total, "cluster_id").withColumn("mass", F.col("_m") / F.col("_t")).select(*member.columns)
 
 
 def expanded(units: DataFrame, split_nano: int) -> DataFrame:

@@ -24,7 +24,7 @@ def equal(units: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """units with pi = n / N, N counted over all rows or over each ``by``."""
     by = by or []
     counts = units.groupBy(*by).agg(F.count("*").alias("_n"))
-    out = units.join(F.broadcast(counts), by) if by else units.withColumn("_n", F.lit(units.count()))
+    out = units.join(counts, by) if by else units.withColumn("_n", F.lit(units.count()))
     return out.withColumn("pi", F.lit(float(n)) / F.col("_n")).drop("_n")
 
 
@@ -33,7 +33,7 @@ def normalised(units: DataFrame, weight: Column, n: int, by: list[str] | None =
     by = by or []
     units = units.withColumn("_w", weight)
     sums = units.groupBy(*by).agg(F.sum("_w").alias("_t"))
-    out = units.join(F.broadcast(sums), by) if by else units.withColumn("_t", F.lit(sums.first()[0]))
+    out = units.join(sums, by) if by else units.withColumn("_t", F.lit(sums.first()[0]))
     return out.withColumn("pi", F.lit(float(n)) * F.col("_w") / F.col("_t")).drop("_w", "_t")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fpsample.functions import kernels as K
 from fpsample.operators.clustering import AggregateBalancedKMeans
-from fpsample.plans.recipes import cell_neighbours, cut
+from fpsample.plans.recipes import cell_neighbours, cut, small
 
 #: Score of a shift by an eighth turn, and variation at the same (fixed values).
 LIMIT, VARIATION = math.sin(math.pi / 8) / math.sin(math.pi / 4), 1 - math.cos(math.pi / 8)
@@ -52,7 +52,7 @@ def shifted(units: DataFrame, centres: DataFrame, assigned: DataFrame, coords: l
     point = units.select("unit_id", *[F.col(c).alias(f"p_{c}") for c in coords])
     centre = centres.select("cluster_id", *[F.col(c).alias(f"m_{c}") for c in coords])
     moves = assigned.join(point, "unit_id").join(F.broadcast(centre), "cluster_id").select("draw_id", "cluster_id", *[(F.col(f"p_{c}") - F.col(f"m_{c}")).alias(f"d_{c}") for c in coords])
-    return units.join(moves, "cluster_id").select("draw_id", "unit_id", "cluster_id", *[(F.col(c) + F.col(f"d_{c}")).alias(c) for c in coords])
+    return units.join(small(moves), "cluster_id").select("draw_id", "unit_id", "cluster_id", *[(F.col(c) + F.col(f"d_{c}")).alias(c) for c in coords])
 
 
 def assign_to_centroids(samples: DataFrame, units: DataFrame, centres: DataFrame, coords: list[str]) -> DataFrame:

@@ -6,12 +6,12 @@ unit across a border is shared. All masses are whole nanos, so zones sum exactly
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fpsample.functions.nano import ONE
 from fpsample.operators.clustering import DublyBalancedKMeans
-from fpsample.plans.recipes import running_sum
+from fpsample.plans.recipes import cut, running_sum
 
 
 def sweep(units: DataFrame, group: list[str], order: list[str], mass: str, parts: int, zone: str) -> DataFrame:
@@ -40,8 +40,8 @@ def zones(units: DataFrame, group: list[str], n_zones: tuple[int, int], mass: st
 def stabilised_zones(cells: DataFrame, group: list[str], n_zones: tuple[int, int], digits: int, mass: str = "mass") -> DataFrame:
     """Masses rounded (ties to even), slivers left out, each zone rescaled to 1 / number of zones."""
     r = cells.withColumn("_m", F.bround(mass, digits)).filter("_m > 0")
-    w = Window.partitionBy(*group, "zone_id")
-    return r.withColumn(mass, F.col("_m") / F.sum("_m").over(w) / (n_zones[0] * n_zones[1])).drop("_m")
+    total = r.groupBy(*group, "zone_id").agg(F.sum("_m").alias("_t"))
+    return r.join(total, [*group, "zone_id"]).withColumn(mass, F.col("_m") / F.col("_t") / (n_zones[0] * n_zones[1])).select(*cells.columns)
 
 
 def zone_totals(cells: DataFrame, group: list[str], mass: str = "mass_nano") -> DataFrame:
@@ -58,7 +58,7 @@ class Population:
         self.n_zones = (n_zones, n_zones) if isinstance(n_zones, int) else tuple(n_zones)
         self.tolerance = tolerance
         fitted = DublyBalancedKMeans(n_clusters, seed=seed).fit(units, ["x", "y"], ["pi"]) if membership is None else membership
-        self.membership = fitted
+        self.membership = fitted = cut(fitted)  # the fit runs once
         parts = fitted.join(units.select("unit_id", "x", "y"), "unit_id").withColumn("mass_nano", F.bround(F.col("mass") * ONE, 0).cast("bigint"))
         self.clusters = parts.select("cluster_id", "unit_id", "x", "y", "mass", "mass_nano")
         self.zones = zones(self.clusters.drop("mass"), ["cluster_id"], self.n_zones)

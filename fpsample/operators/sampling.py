@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fpsample.functions.nano import ONE
 from fpsample.operators.population import Population
+from fpsample.plans.recipes import points_in_intervals, running_sum
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -18,9 +19,7 @@ def uniform(seed: int, *keys: Column | str) -> Column:
 
 def zone_bounds(cells: DataFrame, zones: int) -> DataFrame:
     """Cumulative nano bounds of each zone's units in the order of unit_id, scaled so that every zone of every cluster spans [zone, zone + 1) * ONE / zones exactly."""
-    w = Window.partitionBy("cluster_id", "zone_id")
-    hi = F.sum("mass_nano").over(w.orderBy("unit_id").rowsBetween(Window.unboundedPreceding, 0))
-    c = cells.withColumns({"_hi": hi, "_t": F.sum("mass_nano").over(w)})
+    c = running_sum(cells, ["unit_id"], "mass_nano", "_hi", "_t", ["cluster_id", "zone_id"])
     start = F.call_function("div", F.col("zone_id").cast("bigint") * ONE, F.lit(zones)).cast("bigint")
     width = F.call_function("div", (F.col("zone_id").cast("bigint") + 1) * ONE, F.lit(zones)).cast("bigint") - start
     at = lambda v: start + F.call_function("div", v * width, F.col("_t")).cast("bigint")
@@ -28,12 +27,12 @@ def zone_bounds(cells: DataFrame, zones: int) -> DataFrame:
 
 
 def select_zones(draws: DataFrame, bounds: DataFrame, zones: int) -> DataFrame:
-    """draws (draw_id, u_nano in [0, ONE)): one u picks the same zone in every cluster and, in it, the unit whose interval holds u. An equi-join on the zone, the interval a predicate inside it."""
+    """draws (draw_id, u_nano in [0, ONE)): one u picks the same zone in every cluster and, in it, the unit whose interval holds u. Draws meet the intervals in the cells of u's range, 64 a zone."""
     # the greatest zone whose start, zone * ONE div zones, is not above u
     zone = F.call_function("div", F.col("u_nano") * zones + (zones - 1), F.lit(ONE)).cast("int")
     d = draws.withColumn("zone_id", F.least(zone, F.lit(zones - 1)))
-    hit = (F.col("u_nano") >= F.col("lo_nano")) & (F.col("u_nano") < F.col("hi_nano"))
-    return d.join(bounds, "zone_id").filter(hit).select("draw_id", F.col("cluster_id").alias("slot"), "unit_id")
+    hit = points_in_intervals(d, "u_nano", bounds, "lo_nano", "hi_nano", max(1, ONE // (64 * zones)), ["zone_id"])
+    return hit.select("draw_id", F.col("cluster_id").alias("slot"), "unit_id")
 
 
 def zone_design(bounds: DataFrame) -> DataFrame:
@@ -66,8 +65,6 @@ class RandomSampling:
     """n units with replacement and equal chances; pi is not used."""
 
     def __init__(self, units: DataFrame, n: int, seed: int = 0):
-        from fpsample.plans.recipes import running_sum
-
         self.n, self.seed = n, seed
         self.numbered = running_sum(units.select("unit_id").withColumn("_one", F.lit(1)), ["unit_id"], "_one", "_number").select("unit_id", (F.col("_number") - 1).cast("bigint").alias("number"))
         self.size = units.count()

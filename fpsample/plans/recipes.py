@@ -52,6 +52,27 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str, total: st
     return (got.withColumn(total, F.col("_total")) if total else got).drop("_b", "_before", "_total")
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles of each group, between neighbouring values in proportion, nulls left out.
+
+    Values are counted, the counts' running sum (in two phases) ranks them, and the values at the ranks wanted are picked by
+    aggregation. So a group may hold any number of distinct values: none gathers them.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranked = running_sum(counts, [value], "_n", "_upto", "_total", by)
+    place = [F.lit(p) * (F.col("_total") - 1) for p in at]
+    held = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col(value)))
+    ends = [held(end(p)).alias(f"_{name}{i}") for i, p in enumerate(place) for name, end in (("lo", F.floor), ("hi", F.ceil))]
+    got = ranked.groupBy(*by, "_total").agg(*ends)
+    between = lambda i, p: F.when(F.ceil(p) == F.floor(p), F.col(f"_lo{i}").cast("double")).otherwise((F.ceil(p) - p) * F.col(f"_lo{i}") + (p - F.floor(p)) * F.col(f"_hi{i}"))
+    return got.select(*by, *[between(i, p).alias(f"q{i}") for i, p in enumerate(place)])
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if a count proves it to have at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def next_value(df: DataFrame, key: str, out: str, last: Column) -> DataFrame:
     """df (``key`` numeric and unique) with the next greater key, ``last`` after the greatest."""
     bounds = order_bounds(df, key)

@@ -19,6 +19,7 @@ from fpsample.operators import sampling as S
 from fpsample.operators.criteria import VarNHT
 from fpsample.operators.design import Design, switch, systematic
 from fpsample.operators.search import AStar, best_of
+from fpsample.plans.recipes import cut
 from fpsample.sources.generators import rng
 from fpsample.sources.plotdata import facets, hulls
 from fpsample.streaming.windows import table_window_samples
@@ -483,33 +484,43 @@ def brand_units(spark, sf_dir, n: int = 4) -> DataFrame:
     return I.normalised(u, F.col("sz"), n, ["p_brand"])
 
 
-def _report(member: DataFrame) -> DataFrame:
-    """Units and mass by brand and cluster: with every cluster at its goal, the mass is known to SQL."""
-    return member.groupBy("p_brand", "cluster_id").agg(F.round(F.sum("mass"), 2).alias("mass"))
+def _report(member: DataFrame, units: DataFrame, closer: float | None = 0.75) -> DataFrame:
+    """By brand, what SQL knows of any good fit: the units in it, their mass, units whose parts do not add up (none), clusters off their goal (none), and whether squares about the clusters' centres come to less than ``closer`` of those about the brand's own."""
+    j = member.join(units.select("p_brand", "unit_id", "x", "y", "pi"), ["p_brand", "unit_id"])
+    whole = j.groupBy("p_brand", "unit_id").agg(F.sum("frac").alias("f"), F.sum("mass").alias("m"))
+    out = whole.groupBy("p_brand").agg(F.count("*").alias("units"), F.round(F.sum("m"), 2).alias("mass"), F.count(F.when(F.abs(F.col("f") - 1) > 0.02, 1)).alias("lost"))
+    w = F.col("mass")
+    squares = F.sum(w * (F.col("x") * F.col("x") + F.col("y") * F.col("y"))) - (F.pow(F.sum(w * F.col("x")), 2) + F.pow(F.sum(w * F.col("y")), 2)) / F.sum(w)
+    inside = j.groupBy("p_brand", "cluster_id").agg(squares.alias("s"), F.sum(w).alias("m")).groupBy("p_brand").agg(F.sum("s").alias("s"), F.count(F.when(F.abs(F.col("m") - 1) > 0.01, 1)).alias("uneven"))
+    near = F.lit(True) if closer is None else F.col("s") <= closer * F.col("s0")
+    return out.join(inside, "p_brand").join(j.groupBy("p_brand").agg(squares.alias("s0")), "p_brand").select("p_brand", "units", "mass", "lost", "uneven", near.alias("closer"))
 
 
-_FITTED = "SELECT p_brand, CAST(range AS INT) AS cluster_id, 1.0::DOUBLE AS mass FROM (SELECT DISTINCT p_brand FROM part), range(4)"
+_FITTED = "SELECT p_brand, count(*) AS units, 4.0::DOUBLE AS mass, 0::BIGINT AS lost, 0::BIGINT AS uneven, true AS closer FROM part GROUP BY p_brand"
 
 
 @query(_FITTED)
 def soft_balanced(spark, sf_dir):
-    return _report(C.SoftBalancedKMeans(4, seed=1).fit(brand_units(spark, sf_dir), ["x", "y"], ["pi"], ["p_brand"]))
+    u = brand_units(spark, sf_dir)
+    return _report(cut(C.SoftBalancedKMeans(4, seed=1).fit(u, ["x", "y"], ["pi"], ["p_brand"])), u)
 
 
 @query(_FITTED)
 def aggregate_balanced(spark, sf_dir):
-    return _report(C.AggregateBalancedKMeans(4, seed=1).fit(brand_units(spark, sf_dir), ["x", "y"], ["pi"], ["p_brand"]))
+    u = brand_units(spark, sf_dir)
+    return _report(cut(C.AggregateBalancedKMeans(4, seed=1).fit(u, ["x", "y"], ["pi"], ["p_brand"])), u)
 
 
 @query(_FITTED)
 def doubly_balanced(spark, sf_dir):
-    return _report(C.DublyBalancedKMeans(4, seed=1).fit(brand_units(spark, sf_dir), ["x", "y"], ["pi"], ["p_brand"]))
+    u = brand_units(spark, sf_dir)
+    return _report(cut(C.DublyBalancedKMeans(4, seed=1).fit(u, ["x", "y"], ["pi"], ["p_brand"])), u)
 
 
 @query(_FITTED)
 def continuous_balancing(spark, sf_dir):
     u = brand_units(spark, sf_dir).withColumn("label", F.col("unit_id") % 4)
-    return _report(C.ContinuesBalancing(4).fit(u, ["x", "y"], ["pi"], ["p_brand"]))
+    return _report(cut(C.ContinuesBalancing(4).fit(u, ["x", "y"], ["pi"], ["p_brand"])), u, None)
 
 
 @query()
@@ -529,6 +540,14 @@ def spatial_sample(spark, sf_dir):
     return S.KMeansSpatialSampling(u, n=20, n_zones=(2, 2), seed=1).sample(50).groupBy("draw_id").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH u AS ({_UNIT_SQUARE}) SELECT unit_id, round(20.0::DOUBLE / (SELECT count(*) FROM u), 4) AS pi FROM u")
+def spatial_inclusion(spark, sf_dir):
+    """Each unit's frequency over the exact design of all draws is its probability."""
+    u = I.normalised(unit_square(spark, sf_dir), F.lit(1.0), 20)
+    design = S.KMeansSpatialSampling(u, n=20, n_zones=(2, 2), seed=1).design()
+    return design.select("prob_nano", F.explode("ids").alias("unit_id")).groupBy("unit_id").agg(F.round(F.sum("prob_nano") / F.lit(float(ONE)), 4).alias("pi"))
+
+
 @query()
 def spatial_zones(spark, sf_dir):
     u = I.normalised(unit_square(spark, sf_dir), F.lit(1.0), 10)
@@ -603,9 +622,9 @@ def tree_extremes(spark, sf_dir):
     return H.extremes(read(spark, sf_dir, "customer"), "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_members(spark, sf_dir):
-    return H.without(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    return H.without(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -624,9 +643,12 @@ def heap_top(spark, sf_dir):
     return H.top(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], 10)
 
 
-@query("SELECT count(*) AS n FROM range(7)")
+@query("SELECT count(*) - 7 AS left_over, 7::BIGINT AS popped, sum(c_custkey)::BIGINT AS keys FROM customer")
 def heap_random(spark, sf_dir):
-    return H.random_row(read(spark, sf_dir, "customer").select("c_custkey"), 4, ["c_custkey"], 7).agg(F.count("*").alias("n"))
+    held = read(spark, sf_dir, "customer").select("c_custkey")
+    popped = H.random_row(held, 4, ["c_custkey"], 7)
+    both = H.without(held, popped, ["c_custkey"]).withColumn("out", F.lit(0)).union(popped.withColumn("out", F.lit(1)))
+    return both.agg(F.sum(1 - F.col("out")).alias("left_over"), F.sum("out").alias("popped"), F.sum("c_custkey").alias("keys"))
 
 
 @query("WITH q AS (SELECT a.n_regionkey AS r, abs(a.n_nationkey - b.n_nationkey) AS s FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey) SELECT CAST(r AS VARCHAR) AS ident, round(avg(s), 4) AS mean, count(*) AS n FROM q GROUP BY r UNION ALL SELECT 'Mean', round(avg(s), 4), count(*) FROM q")
@@ -705,10 +727,28 @@ def voronoi_balance(spark, sf_dir):
     return B.voronoi_balance(_with_pi(spark, sf_dir), fixed_draws(spark), ["x", "y"]).withColumn("voronoi", F.round("voronoi", 6))
 
 
-@query()
+_MORAN = """z AS (SELECT unit_id, (x - (SELECT avg(x) FROM u)) / (SELECT stddev_pop(x) FROM u) AS zx, (y - (SELECT avg(y) FROM u)) / (SELECT stddev_pop(y) FROM u) AS zy FROM u),
+lb AS (SELECT draw_id, near, sum(share) AS one, sum(share * zx) AS tx, sum(share * zy) AS ty FROM c JOIN z ON z.unit_id = i GROUP BY 1, 2),
+l AS (SELECT draw_id, sqrt(avg(((one - 1) ^ 2 + (tx - zx) ^ 2 + (ty - zy) ^ 2) / 3)) AS local_balance FROM lb JOIN z ON z.unit_id = near GROUP BY draw_id),
+nb AS (SELECT a.unit_id AS i, b.unit_id AS j, 10.0::DOUBLE / n.n AS p, sum(10.0::DOUBLE / n.n) OVER (PARTITION BY a.unit_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.unit_id ROWS UNBOUNDED PRECEDING) AS upto FROM u a JOIN u b ON a.unit_id <> b.unit_id, n),
+wt AS (SELECT i, j, least(p, 1 - p - (upto - p)) AS w FROM nb WHERE least(p, 1 - p - (upto - p)) > 0), tw AS (SELECT i, sum(w) AS w FROM wt GROUP BY i),
+e AS (SELECT d.draw_id, tw.i, tw.w, CASE WHEN s.unit_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS x FROM (SELECT DISTINCT draw_id FROM s) d JOIN tw ON true LEFT JOIN s ON s.draw_id = d.draw_id AND s.unit_id = tw.i),
+g AS (SELECT s.draw_id, wt.i, sum(wt.w) AS l FROM wt JOIN s ON s.unit_id = wt.j GROUP BY 1, 2),
+q AS (SELECT draw_id, w, x, coalesce(l, 0) / w AS lag FROM e LEFT JOIN g USING (draw_id, i)),
+m AS (SELECT draw_id, sum(w) AS t, sum(w * x) / sum(w) AS mx, sum(w * lag) / sum(w) AS ml, sum(w * x * lag) AS xy, sum(w * x * x) AS xx, sum(w * lag * lag) AS ll FROM q GROUP BY draw_id)"""
+
+
+@query(f"WITH {_VORONOI}, {_MORAN} SELECT draw_id, round(local_balance, 6) AS local_balance, round((xy / t - mx * ml) / sqrt((xx / t - mx * mx) * (ll / t - ml * ml)), 6) AS moran FROM m JOIN l USING (draw_id)")
 def balance_scores(spark, sf_dir):
     u = _with_pi(spark, sf_dir)
-    return B.local_balance(u, fixed_draws(spark), ["x", "y"]).join(B.moran(u, fixed_draws(spark), ["x", "y"], B.inclusion_neighbours(u, ["x", "y"], 0.08)), "draw_id")
+    near = B.inclusion_neighbours(u, ["x", "y"], 0.08)
+    out = B.local_balance(u, fixed_draws(spark), ["x", "y"]).join(B.moran(u, fixed_draws(spark), ["x", "y"], near), "draw_id")
+    return out.select("draw_id", F.round("local_balance", 6).alias("local_balance"), F.round("moran", 6).alias("moran"))
+
+
+@query()
+def all_scores(spark, sf_dir):
+    return B.scores(_with_pi(spark, sf_dir), fixed_draws(spark), ["x", "y"], 10, 0.2)
 
 
 @query("SELECT CAST(event_id % 4 AS VARCHAR) AS method, event_id % 10 AS draw_id, round(sum(value), 3) AS score FROM events GROUP BY 1, 2")
