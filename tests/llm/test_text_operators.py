@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ from fpsample.llm.language import document_evidence, identify, page_evidence
 from fpsample.llm.license_scan import scan_licenses
 from fpsample.llm.line_dedup import dedup_lines
 from fpsample.llm.sentencepieces import chunks, decode_ids, default_model, encode_texts, load
+from tests.llm.conftest import TEXTS
 
 
 # -- personal data ---------------------------------------------------------------------------------
@@ -271,6 +273,77 @@ def test_pages_give_markup_suffix_and_host(spark):
     assert len(out) == pages.count() and all(0 < r.probability <= 1 for r in out)
 
 
+def brute_trigrams(text):
+    folded = []
+    for c in f" {text.lower()} ":
+        c = ord(c) if "a" <= c <= "z" or ord(c) >= 0xAA else 32
+        if not (c == 32 and folded and folded[-1] == 32):
+            folded.append(c)
+    out = []
+    for a, b, c in zip(folded, folded[1:], folded[2:], strict=False):
+        h = (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) % 2**32
+        out.append(((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32 >> 18)
+    return out
+
+
+def brute_posteriors(rows):
+    """Of rows (text, declared, suffix, host): (language, probability, text language, accepted), by loops and dicts alone."""
+    tag = lambda x: None if x is None else re.split("[-_]", x)[0].strip(" ").lower()
+    rows = [(brute_trigrams(t) if t else [], tag(d), tag(s), h) for t, d, s, h in rows]
+    counts = {}
+    for grams, d, _, _ in rows:
+        if d and re.fullmatch("[a-z]{2,8}", d) and d not in ("und", "mul", "mis", "zxx") and grams:
+            counts.setdefault(d, Counter()).update(grams)
+    known = sorted(counts)
+    names, buckets = [*known, "und"], 1 << 14
+    models = []
+    for k in known:
+        n = sum(counts[k].values())
+        part = min(0.5 * buckets / (n + 0.5 * buckets), 0.25)
+        models.append(lambda g, c=counts[k], n=n, part=part: c[g] / n * (1 - part) + part / buckets)
+    models.append(lambda g: 0.5 / buckets + 0.5 * (sum(m(g) for m in models[:-1]) / len(known)))
+    logs, told = [], []
+    for grams, *_ in rows:
+        n = len(grams)
+        logs.append([sum(math.log(m(g)) for g in grams) * min(0.25 * n, 200) / n - (14 if m is models[-1] else 0) for m in models] if n > 1 else [0.0] * len(names))
+        told.append(names[max(range(len(names)), key=lambda i: logs[-1][i])] if n > 1 else None)
+    total = Counter(x for x in told if x)
+    overall = [(total[x] + 1) / (sum(total.values()) + len(names)) for x in names]
+
+    def prior(host, level):
+        if level == 0:
+            return overall
+        cut = lambda h: h if level == 3 else ".".join(h.split(".")[-{1: 1, 2: 2}[level] :])
+        own = Counter(t for (_, _, _, h), t in zip(rows, told, strict=True) if h is not None and cut(h) == cut(host) and t)
+        return [(own[x] + 8 * p) / (sum(own.values()) + 8) for x, p in zip(names, prior(host, level - 1), strict=True)]
+
+    out = []
+    for i, (grams, *values, host) in enumerate(rows):
+        score = [math.log(p) + x for p, x in zip(overall if host is None else prior(host, 3), logs[i], strict=True)]
+        for column, v in enumerate(values, 1):
+            if v is not None:
+                alike = [t for r, t in zip(rows, told, strict=True) if r[column] == v]
+                score = [s + math.log((sum(t == x for t in alike) + 8 * len(alike) / len(rows)) / (total[x] + 8)) for s, x in zip(score, names, strict=True)]
+        exps = [math.exp(s - max(score)) for s in score]
+        best = max(range(len(names)), key=lambda k: exps[k])
+        p = exps[best] / sum(exps)
+        out.append((names[best], p, told[i], p >= 0.5 and len(grams) > 1 and names[best] != "und"))
+    return out
+
+
+def test_posteriors_as_brute_force(spark, documents, odd):
+    rng = random.Random(11)
+    texts = [r for r in documents.limit(60).collect()]
+    rows = [(i, r.text[: rng.choice([3, 20, 60, 400])], rng.choice([r.lang, r.lang, r.lang.upper() + "-XX", None, "xx", "mul"]), rng.choice([r.lang, "com", None, "DE"]), rng.choice([f"{r.lang}.example.org", "a.b.example.com", "example.com", None, "", "x"])) for i, r in enumerate(texts)]
+    rows += [(100 + i, t, lang, None, source) for i, (_, t, lang, source) in enumerate(TEXTS) if t is None or len(t) < 1000]
+    got = identify(spark, spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string").repartition(3)).collect()
+    want = {r[0]: w for r, w in zip(rows, brute_posteriors([r[1:] for r in rows]), strict=True)}
+    assert len(got) == len(want)
+    for r in got:
+        language, p, told, accepted = want[r.doc_id]
+        assert (r.language, r.text_language, r.accepted) == (language, told, accepted) and abs(r.probability - p) < 1e-3, r.doc_id
+
+
 FOREIGN = {
     "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura esta selva selvaggia e aspra e forte",
     "ru": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Все смешалось в доме",
