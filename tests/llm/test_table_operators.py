@@ -320,6 +320,55 @@ def test_tree_splits_quotas_exactly():
     assert abs(many.mean() - 7.5) < 0.2 and many.std() > 1
 
 
+def brute_targets(words, weights=(3, 1, 2)):
+    """Shares found one excess at a time: the source furthest above twice its size is filled first."""
+    fixed = {i: 0.0 for i, w in enumerate(words) if w == 0}
+    while True:
+        rest = [i for i in range(len(words)) if i not in fixed]
+        left = 1.5 * sum(words) - sum(fixed.values())
+        share = {i: left * weights[i % 3] / sum(weights[j % 3] for j in rest) for i in rest}
+        over = [i for i in rest if share[i] > 2 * words[i]]
+        if not over:
+            return [fixed.get(i, share.get(i)) for i in range(len(words))]
+        worst = max(over, key=lambda i: share[i] / words[i])
+        fixed[worst] = 2.0 * words[worst]
+
+
+def test_mix_as_brute_force(spark, documents, odd):
+    from pyspark.sql import functions as F
+
+    for df in (documents, odd, documents.union(documents.filter("doc_id < 40").withColumn("source", F.lit(None).cast("string")))):
+        df = df.select("doc_id", "text", "source").withColumns({"u": F.xxhash64("doc_id", "text", F.lit(17)), "v": F.xxhash64("text", F.lit(17), "doc_id")})
+        out = mix_sources(spark, df, shards=5).collect()
+        by = defaultdict(list)
+        for r in out:
+            by[r.source].append(r)
+        names = sorted(by, key=lambda s: (s is None, s or ""))
+        goals = brute_targets([sum(r.size for r in by[s]) for s in names])
+        drawn = np.zeros((len(names), 5), int)
+        for i, (s, goal) in enumerate(zip(names, goals, strict=True)):
+            rows = sorted(by[s], key=lambda r: (r.u, r.v))
+            words = sum(r.size for r in rows)
+            passes = min(2, int(goal // words)) if words else 0
+            rest = goal - passes * words if passes < 2 else 0
+            upto, want = 0, Counter()
+            for r in rows:
+                upto += r.size
+                want[r.doc_id, r.text, passes + (upto - r.size / 2 <= rest and 0 < rest)] += 1
+            assert Counter((r.doc_id, r.text, r.copies) for r in rows) == want or all(not r.size for r in rows), s
+            assert all(abs(r.target - goal) < 1e-6 for r in rows)
+            # a block of a pass goes to one shard as a whole, and shards have as many blocks as the tree gave them
+            blocks = min(4096, -(-len(rows) // 256))
+            block = lambda r: ((r.u + 2**63) >> 33) * blocks >> 31  # noqa: B023, E731
+            runs = {(c, block(r)): x for r in rows for c, x in enumerate(r.shards)}
+            assert all(runs[c, block(r)] == x for r in rows for c, x in enumerate(r.shards))
+            order = [runs[k] for k in sorted(runs)]
+            assert order == sorted(order)
+            for x in runs.values():
+                drawn[i, x] += 1
+        assert np.ptp(drawn.sum(axis=0)) <= 1 + sum(len(by[s]) < 256 for s in names)
+
+
 def test_rows_alike_are_taken_in_part(spark):
     for ids in ([None] * 40, [3] * 40, list(range(40))):
         rows = [(i, "one two three", "a") for i in ids] + [(1000 + i, "x y z u v", "b") for i in range(60)] + [(2000, None, None)]
