@@ -11,13 +11,33 @@ from pyspark.sql import functions as F
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 2000
 
 
+def _cuts(df: DataFrame, key: str, rows: int) -> list:
+    """Values of ``key`` (numeric) at every BUCKET_ROWS rows of ``rows``, about; a frequent value may stand more than once."""
+    parts = min(MOST_BUCKETS, rows // BUCKET_ROWS)
+    return df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+
+
 def order_bounds(df: DataFrame, key: str) -> list:
     """Bounds that cut df's order of ``key`` (numeric) into buckets of about BUCKET_ROWS rows: MOST_BUCKETS at most reach the driver."""
-    parts = min(MOST_BUCKETS, df.count() // BUCKET_ROWS)
-    if parts < 2:
-        return []
-    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    return sorted(set(cuts))
+    return sorted(set(_cuts(df, key, df.count())))
+
+
+def order_buckets(df: DataFrame, order: list[str]) -> Column | None:
+    """A bucket of each row that rises along ``order`` (the first two keys numeric), of about BUCKET_ROWS rows; None if df has no more than that.
+
+    A value of the first key that fills buckets of its own is cut further by the second key.
+    """
+    cuts = _cuts(df, order[0], df.count())
+    if not cuts:
+        return None
+    bounds = sorted(set(cuts))
+    inner = F.lit(0)
+    for value in (v for v in bounds if cuts.count(v) > 1 and len(order) > 1):
+        own = df.filter(F.col(order[0]) == value)
+        within = order_bounds(own, order[1])
+        if within:  # the greater values of its bucket come after it
+            inner = F.when(F.col(order[0]) == value, bucket_of(order[1], within)).when(bucket_of(order[0], bounds) == bounds.index(value) + 1, F.lit(len(within) + 1)).otherwise(inner)
+    return F.struct(bucket_of(order[0], bounds).alias("outer"), inner.alias("inner"))
 
 
 def bucket_of(key: str | Column, bounds: list) -> Column:
@@ -29,20 +49,20 @@ def bucket_of(key: str | Column, bounds: list) -> Column:
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, out: str, total: str | None = None, on: list[str] | None = None) -> DataFrame:
-    """df with the sum of ``value`` up to and including each row in the order of ``order`` (first key numeric, all together unique), within equal ``on``.
+    """df with the sum of ``value`` up to and including each row in the order of ``order`` (first two keys numeric, all together unique), within equal ``on``.
 
     Two phases: sums per bucket of the order (and ``on``), their running sum, at most MOST_BUCKETS rows a group; then
     windows inside buckets. So neither all rows nor a hot group's rows meet in one task. Small tables take one window.
     ``total`` names a column for the sum of all.
     """
     on = on or []
-    bounds = order_bounds(df, order[0])
-    if on and not bounds:
+    bucket = order_buckets(df, order)
+    if on and bucket is None:
         whole = Window.partitionBy(*on)
         got = df.withColumn(out, F.sum(value).over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
         return got.withColumn(total, F.sum(value).over(whole)) if total else got
     inside = Window.partitionBy(*on, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_b", bucket_of(order[0], bounds))
+    df = df.withColumn("_b", F.lit(0) if bucket is None else bucket)
     sums = df.groupBy(*on, "_b").agg(F.sum(value).alias("_v"))
     steps = Window.partitionBy(*on).orderBy("_b") if on else Window.orderBy("_b")
     before = F.sum("_v").over(steps.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
@@ -59,11 +79,11 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> Data
     aggregation. So a group may hold any number of distinct values: none gathers them.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranked = running_sum(counts, [value], "_n", "_upto", "_total", by)
-    place = [F.lit(p) * (F.col("_total") - 1) for p in at]
+    ranked = running_sum(counts, [value], "_n", "_upto", "_of", by)
+    place = [F.lit(p) * (F.col("_of") - 1) for p in at]
     held = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col(value)))
     ends = [held(end(p)).alias(f"_{name}{i}") for i, p in enumerate(place) for name, end in (("lo", F.floor), ("hi", F.ceil))]
-    got = ranked.groupBy(*by, "_total").agg(*ends)
+    got = ranked.groupBy(*by, "_of").agg(*ends)
     between = lambda i, p: F.when(F.ceil(p) == F.floor(p), F.col(f"_lo{i}").cast("double")).otherwise((F.ceil(p) - p) * F.col(f"_lo{i}") + (p - F.floor(p)) * F.col(f"_hi{i}"))
     return got.select(*by, *[between(i, p).alias(f"q{i}") for i, p in enumerate(place)])
 

@@ -382,3 +382,71 @@ def test_no_size_drops_units_from_doubly_balanced_clusters(monkeypatch):
     p[:200] /= 1000  # units far below the split
     C.DublyBalancedKMeans(4)._run(points, p[:, None])
     assert set(map(tuple, seen[1])) == set(map(tuple, points))
+
+
+def test_running_sums_over_repeated_first_keys(spark, small_buckets):
+    from pyspark.sql import functions as F
+
+    rows = [(0 if i % 3 else i % 7, i, i % 11) for i in range(900)]
+    df = spark.createDataFrame(rows, "a long, b long, v long").repartition(5)
+    buckets = df.withColumn("bucket", recipes.order_buckets(df, ["a", "b"])).groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("a", "b")).alias("lo"), F.max(F.struct("a", "b")).alias("hi")).orderBy("bucket").collect()
+    assert len(buckets) > 8 and max(r.n for r in buckets) < 200 and all(x.hi < y.lo for x, y in zip(buckets, buckets[1:], strict=False))
+    total, want = 0, {}
+    for a, b, v in sorted(rows):
+        total += v
+        want[b] = total
+    got = recipes.running_sum(df, ["a", "b"], "v", "s", "t").collect()
+    assert {r.b: r.s for r in got} == want and {r.t for r in got} == {total}
+    halves = recipes.running_sum(df.withColumn("g", F.col("b") % 2), ["a", "b"], "v", "s", on=["g"]).collect()
+    for g in (0, 1):
+        own = sorted((r.a, r.b, r.v, r.s) for r in halves if r.g == g)
+        assert [s for *_, s in own] == list(np.cumsum([v for _, _, v, _ in own]))
+
+
+def test_quantiles_are_exact(spark, small_buckets):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(x) if rng.random() > 0.1 else None) for g, n in (("a", 700), ("b", 1), ("c", 90)) for x in rng.integers(0, 300 if g == "a" else 9, n)] + [("d", None)]
+    got = {r.g: r for r in recipes.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for g in "abc":
+        own = [x for k, x in rows if k == g and x is not None]
+        if own:
+            assert np.allclose([got[g][f"q{i}"] for i in range(5)], np.quantile(own, [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert "d" not in got
+
+
+def test_neighbours_do_not_depend_on_the_first_radius(spark):
+    from fpsample.operators.balance import inclusion_neighbours
+
+    rng = np.random.default_rng(5)
+    units = spark.createDataFrame([(i, float(x), float(y), 0.08) for i, (x, y) in enumerate(rng.random((50, 2)))], "unit_id long, x double, y double, pi double")
+    rows = {r: {(e.i, e.j): round(e.w, 9) for e in inclusion_neighbours(units, ["x", "y"], r).collect()} for r in (0.05, 0.3, 3.0)}
+    assert rows[0.05] == rows[0.3] == rows[3.0]
+    mass = {}
+    for (i, _), w in rows[3.0].items():
+        mass[i] = mass.get(i, 0) + w
+    assert len(mass) == 50 and all(abs(m + 0.08 - 1) < 1e-6 for m in mass.values())
+
+
+def test_signatures_follow_samples_not_their_order(spark):
+    units = spark.createDataFrame([(i, 5 + i % 3) for i in range(9)], "unit_id long, sz long")
+    from fpsample.operators.design import Design, systematic
+    from fpsample.operators.inclusion import proportional
+
+    design = Design(systematic(proportional(units, "sz", 3)))
+    again = Design(systematic(proportional(units.repartition(7), "sz", 3)))
+    other = Design(systematic(proportional(units.withColumn("sz", units["sz"] + 1), "sz", 3)))
+    first, second, third = (d.signature().first().signature for d in (design, again, other))
+    assert first == second != third
+
+
+def test_all_scores_hold_each_measure(spark):
+    from fpsample.operators import balance
+
+    rng = np.random.default_rng(6)
+    units = spark.createDataFrame([(i, float(x), float(y), 0.1) for i, (x, y) in enumerate(rng.random((60, 2)))], "unit_id long, x double, y double, pi double")
+    samples = spark.createDataFrame([(d, s, (7 * s + d) % 60) for d in range(3) for s in range(6)], "draw_id long, slot int, unit_id long")
+    got = {r.draw_id: r for r in balance.scores(units, samples, ["x", "y"], 6, 0.1).collect()}
+    alone = {r.draw_id: r.voronoi for r in balance.voronoi_balance(units, samples, ["x", "y"]).collect()}
+    spread = {r.draw_id: r.local_balance for r in balance.local_balance(units, samples, ["x", "y"]).collect()}
+    assert set(got) == {0, 1, 2} and all(abs(got[d].voronoi - alone[d]) < 1e-12 and abs(got[d].local_balance - spread[d]) < 1e-12 for d in got)
+    assert all(-1 <= r.moran <= 1 and 0 <= r.density <= 1 for r in got.values())
