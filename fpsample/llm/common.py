@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch between the JVM and Python: bounds a batch at a few MB of ordinary documents.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch between the JVM and Python, whichever comes first.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: The letters A to Z and their lower case, for the contracts that fold these alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Code points that the contracts call white space: blank and 0x09 to 0x0D.
@@ -31,6 +31,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
