@@ -76,36 +76,48 @@ class RandomSampling:
         return picks.join(self.numbered, "number").select("draw_id", "slot", "unit_id")
 
 
-# -- per-draw algorithms, one population in memory each ------------------------------------------------
-#: Units that a population may have for the per-draw samplers below: each task holds it.
-MOST_UNITS = 200_000
+# -- per-draw algorithms, one population or stratum in memory each -------------------------------------
+#: Units that a population, or each stratum of it, may have for the samplers below, and numbers in a table of chances: a task holds these.
+MOST_UNITS, MOST_CHANCES = 200_000, 100_000_000
 
 
-def _held(units: DataFrame, coords: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = units.select("unit_id", "pi", *coords).orderBy("unit_id").limit(MOST_UNITS + 1).toPandas()
-    if len(rows) > MOST_UNITS:
-        raise ValueError(f"more than {MOST_UNITS} units: sample within strata")
-    return rows["unit_id"].to_numpy(), rows["pi"].to_numpy(float), rows[coords].to_numpy(float)
+def _draws(units: DataFrame, coords: list[str], n_samples: int, seed: int, by: list[str] | None, prepared) -> DataFrame:
+    """Draws of ``prepared(pi, points)``, a function of a random generator that picks row numbers: each draw is a row of work, or each stratum of ``by`` is with all its draws."""
+    columns = ["unit_id", "pi", *coords]
 
+    def rows(frame: pd.DataFrame, draws: list[int], extra: list) -> pd.DataFrame:
+        pick = prepared(frame["pi"].to_numpy(float), frame[coords].to_numpy(float))
+        ids = frame["unit_id"].to_numpy()
+        found = [ids[pick(np.random.default_rng([seed, *extra, d]))] for d in draws]
+        number = np.repeat(draws, [len(x) for x in found]) if draws else np.empty(0, int)
+        slots = np.concatenate([np.arange(len(x)) for x in found]) if found else np.empty(0, int)
+        return pd.DataFrame({"draw_id": number.astype("int64"), "slot": slots.astype("int32"), "unit_id": np.concatenate(found) if found else ids[:0]})
 
-def _draws(units: DataFrame, n_samples: int, pick) -> DataFrame:
-    spark = units.sparkSession
+    if by:
+        kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in units.select(*by).schema)
+
+        def stratum(frame: pd.DataFrame) -> pd.DataFrame:
+            if len(frame) > MOST_UNITS:
+                raise ValueError(f"a stratum has more than {MOST_UNITS} units: cut it further")
+            frame = frame.sort_values("unit_id", kind="stable")
+            own = rows(frame, list(range(n_samples)), [int(frame["unit_id"].iloc[0]) & 0x7FFFFFFF])
+            return own.assign(**{c: frame[c].iloc[0] for c in by})[[*by, "draw_id", "slot", "unit_id"]]
+
+        return units.select(*by, *columns).groupBy(*by).applyInPandas(stratum, kinds + "draw_id long, slot int, unit_id long")
+
+    held = units.select(*columns).orderBy("unit_id").limit(MOST_UNITS + 1).toPandas()
+    if len(held) > MOST_UNITS:
+        raise ValueError(f"more than {MOST_UNITS} units: sample within strata, by ...")
 
     def run(batches):
         for b in batches:
-            for d in b["draw_id"]:
-                ids = pick(int(d))
-                yield pd.DataFrame({"draw_id": int(d), "slot": np.arange(len(ids), dtype="int32"), "unit_id": ids})
-
-    return spark.range(n_samples).withColumnRenamed("id", "draw_id").mapInPandas(run, "draw_id long, slot int, unit_id long")
+            yield rows(held, [int(d) for d in b["draw_id"]], [])
 
+    return units.sparkSession.range(n_samples).withColumnRenamed("id", "draw_id").mapInPandas(run, "draw_id long, slot int, unit_id long")
 
-def local_pivotal(units: DataFrame, coords: list[str], n_samples: int, seed: int = 0) -> DataFrame:
-    """Local pivotal method: a random undecided unit and its nearest undecided neighbour duel until all are decided; inclusion probabilities hold and samples spread out. By the published method."""
-    ids, pi, points = _held(units, coords)
 
-    def pick(draw: int) -> np.ndarray:
-        rng = np.random.default_rng([seed, draw])
+def _duels(pi: np.ndarray, points: np.ndarray):
+    def pick(rng: np.random.Generator) -> np.ndarray:
         p = pi.copy()
         open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
         while len(open_) > 1:
@@ -121,58 +133,75 @@ def local_pivotal(units: DataFrame, coords: list[str], n_samples: int, seed: int
             else:
                 win, lose = (i, j) if rng.random() < (1 - p[j]) / (2 - s) else (j, i)
                 p[win], p[lose] = 1.0, s - 1
-            open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+            done = [x for x in (i, j) if not 1e-9 < p[x] < 1 - 1e-9]
+            open_ = open_[~np.isin(open_, done)]
         if len(open_) == 1:
             p[open_[0]] = float(rng.random() < p[open_[0]])
-        return ids[p > 0.5]
-
-    return _draws(units, n_samples, pick)
-
-
-def conditional_poisson(units: DataFrame, n_samples: int, seed: int = 0, rounds: int = 200) -> DataFrame:
-    """Maximum-entropy sampling of fixed size: working odds are fitted so that the conditional inclusion probabilities are pi, then units are taken one by one from the exact conditional chances. By the published method."""
-    ids, pi, _ = _held(units, [])
-    n = int(round(pi.sum()))
-    sure = pi > 1 - 1e-9
-    live = np.flatnonzero(~sure & (pi > 1e-12))
-    target, size = pi[live], n - int(sure.sum())
-
-    def table(w: np.ndarray) -> np.ndarray:
-        """r[i, k]: sum over k-subsets of w[i:] of products, rescaled by row."""
-        r = np.zeros((len(w) + 1, size + 1))
-        r[len(w), 0] = 1.0
-        for i in range(len(w) - 1, -1, -1):
-            r[i] = r[i + 1]
-            r[i, 1:] += w[i] * r[i + 1, :-1]
-        return r
-
-    w = target / (1 - target)
-    w /= w.mean()
-    for _ in range(rounds):
-        whole = table(w)[0]
-        got = np.empty(len(w))
-        for i in range(len(w)):  # subsets without i by dividing its factor out
-            without = np.zeros(size + 1)
-            without[0] = 1.0
-            for k in range(1, size + 1):
-                without[k] = whole[k] - w[i] * without[k - 1]
-            got[i] = w[i] * without[size - 1] / whole[size] if size else 0.0
-        if not len(w) or np.abs(got - target).max() < 1e-9:
-            break
-        w *= target / np.clip(got, 1e-15, None) * ((1 - np.clip(got, 0, 1 - 1e-12)) / (1 - target))
-        w /= w.mean()
-    r = table(w)
-
-    def pick(draw: int) -> np.ndarray:
-        rng = np.random.default_rng([seed, draw])
-        left, taken = size, []
-        for i in range(len(w)):
-            if left and rng.random() * r[i, left] < w[i] * r[i + 1, left - 1]:
-                taken.append(live[i])
-                left -= 1
-        return np.sort(np.concatenate([ids[sure], ids[np.array(taken, int)]]))
-
-    return _draws(units, n_samples, pick)
+        return np.flatnonzero(p > 0.5)
+
+    return pick
+
+
+def local_pivotal(units: DataFrame, coords: list[str], n_samples: int, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Local pivotal method: a random undecided unit and its nearest undecided neighbour duel until all are decided; inclusion probabilities hold and samples spread out. By the published method. With ``by``, each stratum by itself."""
+    return _draws(units, coords, n_samples, seed, by, _duels)
+
+
+def _sums(p: np.ndarray, size: int) -> np.ndarray:
+    """r[i, k]: the chance that k of the independent trials p[i:] succeed."""
+    r = np.zeros((len(p) + 1, size + 1))
+    r[len(p), 0] = 1.0
+    for i in range(len(p) - 1, -1, -1):
+        r[i] = r[i + 1] * (1 - p[i])
+        r[i, 1:] += p[i] * r[i + 1, :-1]
+    return r
+
+
+def _centred(odds: np.ndarray, size: int) -> np.ndarray:
+    """Chances of odds times the one factor by which they sum to size: conditional chances do not depend on it, and sums near size stay of ordinary magnitude."""
+    lo, hi = -60.0, 60.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        w = odds * np.exp(mid)
+        lo, hi = (mid, hi) if (w / (1 + w)).sum() < size else (lo, mid)
+    w = odds * np.exp(lo)
+    return w / (1 + w)
+
+
+def _entropy(rounds: int):
+    def prepared(pi: np.ndarray, points: np.ndarray):
+        sure = np.flatnonzero(pi > 1 - 1e-9)
+        live = np.flatnonzero((pi <= 1 - 1e-9) & (pi > 1e-12))
+        target, size = pi[live], int(round(pi.sum())) - len(sure)
+        if len(live) * (size + 1) > MOST_CHANCES:
+            raise ValueError("too many units and draws for one table of chances: sample within strata, by ...")
+        p = target.copy()
+        r = _sums(p, size)
+        for _ in range(rounds if 0 < size < len(live) else 0):
+            # a unit's conditional chance: it succeeds, k of those before it do and size - 1 - k of those after it
+            before = _sums(p[::-1], size)[::-1]
+            got = p * (before[:-1, :size] * r[1:, :size][:, ::-1]).sum(axis=1) / r[0, size]
+            if np.abs(got - target).max() < 1e-9:
+                break
+            p = _centred(p / (1 - p) * (target / (1 - target)) * ((1 - got) / got), size)
+            r = _sums(p, size)
+
+        def pick(rng: np.random.Generator) -> np.ndarray:
+            left, taken = min(size, len(live)), []
+            for i in range(len(p)):
+                if left and rng.random() * r[i, left] < p[i] * r[i + 1, left - 1]:
+                    taken.append(live[i])
+                    left -= 1
+            return np.sort(np.concatenate([sure, np.array(taken, int)]))
+
+        return pick
+
+    return prepared
+
+
+def conditional_poisson(units: DataFrame, n_samples: int, seed: int = 0, rounds: int = 200, by: list[str] | None = None) -> DataFrame:
+    """Maximum-entropy sampling of fixed size: working chances are fitted so that the conditional inclusion probabilities are pi, then units are taken one by one from the exact conditional chances. By the published method. With ``by``, each stratum by itself, of the size that its pi sum to."""
+    return _draws(units, [], n_samples, seed, by, _entropy(rounds))
 
 
 def find_samples(methods: dict[str, DataFrame]) -> DataFrame:

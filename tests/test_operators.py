@@ -450,3 +450,50 @@ def test_all_scores_hold_each_measure(spark):
     spread = {r.draw_id: r.local_balance for r in balance.local_balance(units, samples, ["x", "y"]).collect()}
     assert set(got) == {0, 1, 2} and all(abs(got[d].voronoi - alone[d]) < 1e-12 and abs(got[d].local_balance - spread[d]) < 1e-12 for d in got)
     assert all(-1 <= r.moran <= 1 and 0 <= r.density <= 1 for r in got.values())
+
+
+def test_maximum_entropy_by_enumeration():
+    from itertools import combinations
+
+    from fpsample.operators.sampling import _entropy
+
+    pi = np.array([0.9, 0.2, 0.5, 0.35, 0.65, 0.4, 1.0])
+    pick = _entropy(500)(pi, np.empty((7, 0)))
+    n = 4000
+    seen = {}
+    for d in range(n):
+        s = tuple(pick(np.random.default_rng([1, d])).tolist())
+        seen[s] = seen.get(s, 0) + 1
+    assert {len(s) for s in seen} == {4} and all(6 in s for s in seen)
+    # the design of most entropy has chances that are products of odds: fit these by brute force over all samples
+    subsets = list(combinations(range(6), 3))
+    w = pi[:6] / (1 - pi[:6])
+    for _ in range(3000):
+        chance = np.array([np.prod(w[list(s)]) for s in subsets])
+        chance /= chance.sum()
+        got = np.array([sum(c for s, c in zip(subsets, chance, strict=True) if i in s) for i in range(6)])
+        w *= pi[:6] / got * (1 - got) / (1 - pi[:6])
+    assert np.abs(got - pi[:6]).max() < 1e-9
+    for s, c in zip(subsets, chance, strict=True):
+        assert abs(seen.get((*s, 6), 0) / n - c) < 5 * (c * (1 - c) / n) ** 0.5 + 1e-3, s
+
+
+def test_maximum_entropy_of_many_units():
+    from fpsample.operators.sampling import _entropy
+
+    pi = np.random.default_rng(3).random(3000)
+    pi *= 400 / pi.sum()
+    pick = _entropy(50)(np.minimum(pi, 1), np.empty((3000, 0)))
+    assert {len(pick(np.random.default_rng(d))) for d in range(5)} == {400}
+
+
+@pytest.mark.parametrize("kind", ["pivotal", "entropy"])
+def test_samples_within_strata(spark, kind):
+    units = spark.createDataFrame([(i, float(i % 5), float(i % 7), 0.25, f"s{i % 3}") for i in range(120)], "unit_id long, x double, y double, pi double, s string")
+    draw = (lambda: S.local_pivotal(units, ["x", "y"], 40, by=["s"])) if kind == "pivotal" else (lambda: S.conditional_poisson(units, 40, by=["s"]))
+    rows = draw().collect()
+    n = {}
+    for r in rows:
+        assert r.s == f"s{r.unit_id % 3}"
+        n[r.s, r.draw_id] = n.get((r.s, r.draw_id), 0) + 1
+    assert len(n) == 120 and set(n.values()) == {10} and sorted(map(tuple, rows)) == sorted(map(tuple, draw().collect()))
