@@ -50,22 +50,27 @@ def zone_totals(cells: DataFrame, group: list[str], mass: str = "mass_nano") ->
 
 
 class Population:
-    """units: unit_id, x, y, pi (summing to n_clusters). Builds ``membership``, and ``zones`` with mass_nano."""
+    """units: unit_id, x, y, pi (summing to n_clusters). Builds ``membership``, and ``zones`` with mass_nano.
 
-    def __init__(self, units: DataFrame, *, n_clusters: int, n_zones: tuple[int, int] | int = (2, 2), tolerance: int = 3, seed: int = 0, membership: DataFrame | None = None):
+    A fit holds its population in one task. ``by`` names columns that cut larger ones into strata, each with n_clusters
+    clusters of its own (its pi sum to that) and fitted in a task of its own; results then have these columns as well.
+    """
+
+    def __init__(self, units: DataFrame, *, n_clusters: int, n_zones: tuple[int, int] | int = (2, 2), tolerance: int = 3, seed: int = 0, membership: DataFrame | None = None, by: list[str] | None = None):
+        self.by = by = by or []
         self.units = units
         self.n_clusters = n_clusters
         self.n_zones = (n_zones, n_zones) if isinstance(n_zones, int) else tuple(n_zones)
         self.tolerance = tolerance
-        fitted = DublyBalancedKMeans(n_clusters, seed=seed).fit(units, ["x", "y"], ["pi"]) if membership is None else membership
+        fitted = DublyBalancedKMeans(n_clusters, seed=seed).fit(units, ["x", "y"], ["pi"], by) if membership is None else membership
         self.membership = fitted = cut(fitted)  # the fit runs once
-        parts = fitted.join(units.select("unit_id", "x", "y"), "unit_id").withColumn("mass_nano", F.bround(F.col("mass") * ONE, 0).cast("bigint"))
-        self.clusters = parts.select("cluster_id", "unit_id", "x", "y", "mass", "mass_nano")
-        self.zones = zones(self.clusters.drop("mass"), ["cluster_id"], self.n_zones)
+        parts = fitted.join(units.select(*by, "unit_id", "x", "y"), [*by, "unit_id"]).withColumn("mass_nano", F.bround(F.col("mass") * ONE, 0).cast("bigint"))
+        self.clusters = parts.select(*by, "cluster_id", "unit_id", "x", "y", "mass", "mass_nano")
+        self.zones = zones(self.clusters.drop("mass"), [*by, "cluster_id"], self.n_zones)
 
     def nested(self) -> DataFrame:
         """One row per cluster and zone with its units as an array."""
-        return self.zones.groupBy("cluster_id", "zone_id").agg(F.array_sort(F.collect_list(F.struct("unit_id", "x", "y", "mass_nano"))).alias("units"))
+        return self.zones.groupBy(*self.by, "cluster_id", "zone_id").agg(F.array_sort(F.collect_list(F.struct("unit_id", "x", "y", "mass_nano"))).alias("units"))
 
     def plot(self) -> DataFrame:
         from fpsample.sources.plotdata import hulls

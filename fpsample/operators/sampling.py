@@ -17,22 +17,22 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys]), 11) / F.lit(float(1 << 53))
 
 
-def zone_bounds(cells: DataFrame, zones: int) -> DataFrame:
+def zone_bounds(cells: DataFrame, zones: int, by: list[str] | None = None) -> DataFrame:
     """Cumulative nano bounds of each zone's units in the order of unit_id, scaled so that every zone of every cluster spans [zone, zone + 1) * ONE / zones exactly."""
-    c = running_sum(cells, ["unit_id"], "mass_nano", "_hi", "_t", ["cluster_id", "zone_id"])
+    c = running_sum(cells, ["unit_id"], "mass_nano", "_hi", "_t", [*(by or []), "cluster_id", "zone_id"])
     start = F.call_function("div", F.col("zone_id").cast("bigint") * ONE, F.lit(zones)).cast("bigint")
     width = F.call_function("div", (F.col("zone_id").cast("bigint") + 1) * ONE, F.lit(zones)).cast("bigint") - start
     at = lambda v: start + F.call_function("div", v * width, F.col("_t")).cast("bigint")
-    return c.select("cluster_id", "zone_id", "unit_id", at(F.col("_hi") - F.col("mass_nano")).alias("lo_nano"), at(F.col("_hi")).alias("hi_nano")).filter("hi_nano > lo_nano")
+    return c.select(*(by or []), "cluster_id", "zone_id", "unit_id", at(F.col("_hi") - F.col("mass_nano")).alias("lo_nano"), at(F.col("_hi")).alias("hi_nano")).filter("hi_nano > lo_nano")
 
 
-def select_zones(draws: DataFrame, bounds: DataFrame, zones: int) -> DataFrame:
+def select_zones(draws: DataFrame, bounds: DataFrame, zones: int, by: list[str] | None = None) -> DataFrame:
     """draws (draw_id, u_nano in [0, ONE)): one u picks the same zone in every cluster and, in it, the unit whose interval holds u. Draws meet the intervals in the cells of u's range, 64 a zone."""
     # the greatest zone whose start, zone * ONE div zones, is not above u
     zone = F.call_function("div", F.col("u_nano") * zones + (zones - 1), F.lit(ONE)).cast("int")
     d = draws.withColumn("zone_id", F.least(zone, F.lit(zones - 1)))
     hit = points_in_intervals(d, "u_nano", bounds, "lo_nano", "hi_nano", max(1, ONE // (64 * zones)), ["zone_id"])
-    return hit.select("draw_id", F.col("cluster_id").alias("slot"), "unit_id")
+    return hit.select("draw_id", *(by or []), F.col("cluster_id").alias("slot"), "unit_id")
 
 
 def zone_design(bounds: DataFrame) -> DataFrame:
@@ -44,20 +44,22 @@ def zone_design(bounds: DataFrame) -> DataFrame:
 
 
 class KMeansSpatialSampling:
-    """n balanced clusters with z0 * z1 zones each; draws are coordinated across clusters. Units across clusters may be drawn twice in one sample."""
+    """n balanced clusters with z0 * z1 zones each; draws are coordinated across clusters. Units across clusters may be drawn twice in one sample. With ``by``, n clusters in each stratum, drawn by the same number."""
 
-    def __init__(self, units: DataFrame, *, n: int, n_zones: tuple[int, int] | int = (2, 2), tolerance: int = 3, seed: int = 0, population: Population | None = None):
-        self.population = population or Population(units, n_clusters=n, n_zones=n_zones, tolerance=tolerance, seed=seed)
+    def __init__(self, units: DataFrame, *, n: int, n_zones: tuple[int, int] | int = (2, 2), tolerance: int = 3, seed: int = 0, population: Population | None = None, by: list[str] | None = None):
+        self.population = population or Population(units, n_clusters=n, n_zones=n_zones, tolerance=tolerance, seed=seed, by=by)
         z = self.population.n_zones
         self.zones, self.seed = z[0] * z[1], seed
-        self.bounds = zone_bounds(self.population.zones, self.zones)
+        self.bounds = zone_bounds(self.population.zones, self.zones, self.population.by)
 
     def sample(self, n_samples: int, spark: SparkSession | None = None) -> DataFrame:
         spark = spark or SparkSession.active()
         draws = spark.range(n_samples).select(F.col("id").alias("draw_id"), F.floor(uniform(self.seed, "id") * ONE).cast("bigint").alias("u_nano"))
-        return select_zones(draws, self.bounds, self.zones)
+        return select_zones(draws, self.bounds, self.zones, self.population.by)
 
     def design(self) -> DataFrame:
+        if self.population.by:
+            raise ValueError("each stratum has a design of its own: filter bounds first")
         return zone_design(self.bounds)
 
 

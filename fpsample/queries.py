@@ -548,10 +548,16 @@ def spatial_inclusion(spark, sf_dir):
     return design.select("prob_nano", F.explode("ids").alias("unit_id")).groupBy("unit_id").agg(F.round(F.sum("prob_nano") / F.lit(float(ONE)), 4).alias("pi"))
 
 
-@query()
+@query("SELECT CAST(c.range AS INT) AS cluster_id, CAST(z.range AS INT) AS zone_id, 0.25::DOUBLE AS mass FROM range(10) c, range(4) z")
 def spatial_zones(spark, sf_dir):
     u = I.normalised(unit_square(spark, sf_dir), F.lit(1.0), 10)
-    return P.Population(u, n_clusters=10, n_zones=(2, 2)).nested().select("cluster_id", "zone_id", F.size("units").alias("units"))
+    cells = P.Population(u, n_clusters=10, n_zones=(2, 2)).nested()
+    return cells.select("cluster_id", F.col("zone_id").cast("int").alias("zone_id"), F.round(F.aggregate("units", F.lit(0.0), lambda a, c: a + c["mass_nano"]) / F.lit(float(ONE)), 3).alias("mass"))
+
+
+@query("SELECT p_brand, d.range AS draw_id, 4::BIGINT AS n FROM (SELECT DISTINCT p_brand FROM part), range(20) d")
+def spatial_strata(spark, sf_dir):
+    return S.KMeansSpatialSampling(brand_units(spark, sf_dir), n=4, n_zones=(2, 2), seed=1, by=["p_brand"]).sample(20).groupBy("p_brand", "draw_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT range AS draw_id, CAST(10 AS BIGINT) AS n FROM range(200)")

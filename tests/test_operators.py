@@ -497,3 +497,15 @@ def test_samples_within_strata(spark, kind):
         assert r.s == f"s{r.unit_id % 3}"
         n[r.s, r.draw_id] = n.get((r.s, r.draw_id), 0) + 1
     assert len(n) == 120 and set(n.values()) == {10} and sorted(map(tuple, rows)) == sorted(map(tuple, draw().collect()))
+
+
+def test_spatial_samples_within_strata(spark):
+    rng = np.random.default_rng(9)
+    units = spark.createDataFrame([(i, float(x), float(y), 0.1, f"s{i % 3}") for i, (x, y) in enumerate(rng.random((120, 2)))], "unit_id long, x double, y double, pi double, s string")
+    sampler = S.KMeansSpatialSampling(units, n=4, n_zones=(2, 2), seed=1, by=["s"])
+    rows = sampler.sample(30).collect()
+    assert all(r.s == f"s{r.unit_id % 3}" for r in rows)
+    assert Counter((r.draw_id, r.s) for r in rows) == {(d, s): 4 for d in range(30) for s in ("s0", "s1", "s2")}
+    assert sampler.population.nested().count() == 3 * 4 * 4
+    with pytest.raises(ValueError, match="stratum"):
+        sampler.design()
