@@ -282,3 +282,20 @@ class DublyBalancedKMeans(_Fitted):
         np.add.at(votes, (owner, labels), 1)
         label = np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1), K.squares(points, centres).argmin(axis=1))
         return continue_balancing(points, p, label, self.k, 10.0**-self.tolerance)
+
+
+def compared(units: DataFrame, coords: list[str], k: int, by: list[str], seed: int = 0) -> DataFrame:
+    """Plain k-means beside k-means of even cluster sizes, for each stratum: (by, method, cluster_id, units, squares), squares about the clusters' own means."""
+    keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in units.select(*by).schema)
+
+    def both(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("unit_id", kind="stable")
+        x = frame[coords].to_numpy(float)
+        size = len(x) // k
+        parts = []
+        for method, (labels, _) in (("plain", K.kmeans(x, k, seed)), ("even", K.constrained_kmeans(x, k, size, size + 1, seed))):
+            own = [x[labels == j] for j in range(k)]
+            parts.append(pd.DataFrame({"method": method, "cluster_id": np.arange(k, dtype="int32"), "units": [len(o) for o in own], "squares": [float(((o - o.mean(axis=0)) ** 2).sum()) if len(o) else 0.0 for o in own]}))
+        return pd.concat(parts).assign(**{b: frame[b].iloc[0] for b in by})[[*by, "method", "cluster_id", "units", "squares"]]
+
+    return units.select(*by, "unit_id", *coords).groupBy(*by).applyInPandas(both, keys + "method string, cluster_id int, units long, squares double")

@@ -523,14 +523,32 @@ def continuous_balancing(spark, sf_dir):
     return _report(cut(C.ContinuesBalancing(4).fit(u, ["x", "y"], ["pi"], ["p_brand"])), u, None)
 
 
-@query()
+@query("SELECT p_brand, count(*) AS units, 4.0::DOUBLE AS mass, 0::BIGINT AS lost, 4::BIGINT AS clusters FROM part GROUP BY p_brand")
 def one_boundary(spark, sf_dir):
-    return C.OneBoundaryBalancedKMeans(4, seed=1).fit(brand_units(spark, sf_dir), ["x", "y"], ["pi"], ["p_brand"])
+    """Units, mass, units whose parts do not add up and clusters: it evens clusters out as far as its rounds go, so their masses are not known."""
+    u = brand_units(spark, sf_dir)
+    member = cut(C.OneBoundaryBalancedKMeans(4, seed=1).fit(u, ["x", "y"], ["pi"], ["p_brand"]))
+    whole = _report(member, u, None).select("p_brand", "units", "mass", "lost")
+    return whole.join(member.groupBy("p_brand").agg(F.countDistinct("cluster_id").alias("clusters")), "p_brand")
 
 
-@query()
+@query("SELECT p_brand, count(*) AS units, CAST(count(*) // 4 AS BIGINT) AS least, CAST(count(*) // 4 + (CASE WHEN count(*) % 4 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS most, true AS dearer FROM part GROUP BY p_brand")
+def kmeans_comparison(spark, sf_dir):
+    """Sizes of the even clusters, and whether evenness costs squares beside plain k-means (which may stop a little above its best)."""
+    c = C.compared(brand_units(spark, sf_dir), ["x", "y"], 4, ["p_brand"], seed=1)
+    even, plain = (F.col("method") == m for m in ("even", "plain"))
+    cost = lambda m: F.sum(F.when(m, F.col("squares")))
+    return c.groupBy("p_brand").agg(F.sum(F.when(even, F.col("units"))).alias("units"), F.min(F.when(even, F.col("units"))).alias("least"), F.max(F.when(even, F.col("units"))).alias("most"), (cost(even) >= 0.9 * cost(plain)).alias("dearer"))
+
+
+@query(f"WITH u AS ({_UNIT_SQUARE}) SELECT count(*) AS units, 5::BIGINT AS clusters, true AS closer FROM u")
 def kmeans_large(spark, sf_dir):
-    return C.kmeans_large(unit_square(spark, sf_dir), 5, ["x", "y"], seed=1).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    """Units and clusters, and whether each unit's cluster brings squares well below those about the whole's centre."""
+    u = unit_square(spark, sf_dir)
+    j = C.kmeans_large(u, 5, ["x", "y"], seed=1).select("unit_id", "cluster_id").join(u, "unit_id")
+    of = lambda: F.var_pop("x") * F.count("*") + F.var_pop("y") * F.count("*")
+    inside = j.groupBy("cluster_id").agg(of().alias("s"), F.count("*").alias("n")).agg(F.sum("s").alias("s"), F.sum("n").alias("units"), F.count("*").alias("clusters"))
+    return inside.join(j.agg(of().alias("s0"))).select("units", "clusters", (F.col("s") < 0.5 * F.col("s0")).alias("closer"))
 
 
 # -- samplers -------------------------------------------------------------------------------------------------------------
