@@ -12,8 +12,6 @@ from fpsample.llm.common import LOWER, SPACE, UPPER, boxed, prepare, row_key, sp
 
 #: Keys in at least so many documents lose their lines.
 MIN_DOCUMENTS = 10
-#: Rows of dropped positions, counted first, that are broadcast to their documents at most (some 20 MB); beyond these both meet by hash.
-MOST_BROADCAST = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -59,9 +57,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_documents: int = MIN_D
     frequent = pairs.groupBy("line").agg(F.count("*").alias("documents")).filter(F.col("documents") >= min_documents)
     frequent = written(spark, frequent.withColumn("hit", F.lit(True)), "frequent-lines")
     hits = spread_join(lines, frequent, "line", "documents", F.struct("_id", "_text_hash", "pos")).filter("hit")
-    dropped = written(spark, hits.groupBy(*key).agg(F.array_sort(F.collect_set("pos")).alias("_dropped")), "dropped-lines")
-    few = dropped.agg(F.count("*") <= MOST_BROADCAST, F.coalesce(F.max(F.size("_dropped")), F.lit(0)) <= 1000).first()
-    whole = body.join(F.broadcast(dropped) if all(few) else dropped, key, "left").drop(*key)
+    dropped = hits.groupBy(*key).agg(F.array_sort(F.collect_set("pos")).alias("_dropped"))
+    whole = body.join(dropped, key, "left").drop(*key)
     gone = F.col("_dropped").isNotNull()
     made = whole.withColumns({
         "_n_lines": F.size(split_lines(F.col("text"))).cast("long"),
