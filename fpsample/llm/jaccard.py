@@ -185,36 +185,51 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(now, held)
 
 
-def _blocks(bits: int, width: int):
+def _probes(tokens: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
+    """Where a map has a token's marks."""
+    return [mix(tokens + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) for i in range(probes)]
+
+
+def _marks(bits: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
         for b in batches:
-            at = b.column("token").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(width - bits)
-            for block in np.unique(at >> np.uint64(BLOCK_BITS)).tolist():
-                inside = (at[at >> np.uint64(BLOCK_BITS) == block] & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
-                held = blocks.setdefault(block, np.zeros(1 << BLOCK_BITS, bool))
-                held[inside] = True
-        packed = [(k, np.packbits(v).tobytes()) for k, v in blocks.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), pa.array([v for _, v in packed], pa.binary())], ["block", "bits"])
+            marks = np.concatenate(_probes(b.column("token").to_numpy(zero_copy_only=False).view(np.uint64), bits, probes))
+            yield pa.RecordBatch.from_arrays([pa.array((marks >> np.uint64(BLOCK_BITS)).astype(np.int32)), pa.array((marks & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int32))], ["block", "mark"])
 
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, np.ndarray] = {}
+    for b in batches:
+        block, mark = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "mark"))
+        for k in np.unique(block).tolist():
+            blocks.setdefault(k, np.zeros(1 << BLOCK_BITS, bool))[mark[block == k]] = True
+    packed = [(k, np.packbits(v).tobytes()) for k, v in blocks.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), pa.array([v for _, v in packed], pa.binary())], ["block", "bits"])
+
+
 class BitMap:
-    """Tokens by their leading bits, in every task: at most 2**MOST_BITS bits, 32 MB, however many tokens there are. It lets through all of them and, by chance, a few others (the more, the fuller it is), which exact steps drop later."""
+    """A Bloom filter of tokens in every task: at most 2**MOST_BITS bits, 32 MB, however many tokens there are. It lets through all of them and, by chance, a few others (the more, the fuller it is), which exact steps drop later.
+
+    ``width``: the leading bits of a token that it goes by. ``tokens`` has them as the low bits of ``token``.
+    """
 
     def __init__(self, spark: SparkSession, tokens: DataFrame, width: int = 64):
-        self.bits = min(MOST_BITS, max(BLOCK_BITS, (16 * tokens.count()).bit_length()))
-        block = F.shiftrightunsigned("token", width - self.bits + BLOCK_BITS) if self.bits > BLOCK_BITS else F.lit(0)
-        found = tokens.select("token", block.alias("block")).repartition("block").select("token").mapInArrow(_blocks(self.bits, width), "block int, bits binary").collect()
+        n = tokens.count()
+        self.width, self.bits = width, min(MOST_BITS, max(BLOCK_BITS, (16 * n).bit_length()))
+        self.probes = max(1, min(4, round(0.69 * (1 << self.bits) / max(n, 1))))
+        found = tokens.select("token").mapInArrow(_marks(self.bits, self.probes), "block int, mark int").repartition("block").mapInArrow(_blocks, "block int, bits binary").collect()
         table = np.zeros(1 << (self.bits - 3), np.uint8)
         for r in found:
             table[r.block << (BLOCK_BITS - 3) : (r.block + 1) << (BLOCK_BITS - 3)] |= np.frombuffer(r.bits, np.uint8)
         self.sent = spark.sparkContext.broadcast(table)
 
     def holds(self, tokens: np.ndarray) -> np.ndarray:
-        at = tokens >> np.uint64(64 - self.bits)
-        return (self.sent.value[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+        table, out = self.sent.value, np.ones(len(tokens), bool)
+        for at in _probes(tokens >> np.uint64(64 - self.width), self.bits, self.probes):
+            out &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+        return out
 
 
 def repeated_tokens(spark: SparkSession, df: DataFrame, tokens: Tokens, total: int) -> BitMap:
