@@ -61,7 +61,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's target takes it, a shard's rows together and in the shard's order. Null and empty texts have size 0 and are taken with their block; a null source is one of its own; rows alike are taken in part, by their place; ties in order fall to the text."""
     mixed = mixed_rows(mix_sources(spark, docs.select(*COLUMNS)))
-    return mixed.repartition("shard").sortWithinPartitions("shard", "order_key").select(*COLUMNS)  # a partition may hold several shards
+    # by ranges of the mix's order, so that a partition may hold several shards or a part of one, however large a shard is
+    return mixed.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
