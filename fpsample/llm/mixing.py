@@ -170,6 +170,6 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def mixed_rows(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: one row a copy with its ``shard`` and ``order_key``, the place within the shard; write it by ``repartition("shard").sortWithinPartitions("order_key")`` or read it in this order."""
+    """The mix itself: one row a copy with its ``shard`` and ``order_key``, the place within the shard; write it by ``repartitionByRange("shard", "order_key")`` and sort within partitions, or read it in this order."""
     out = mixed.select(*[F.col(f"`{c}`") for c in mixed.columns if c not in ("shards", "copies")], F.posexplode("shards").alias("copy", "shard"))
     return out.withColumn("order_key", F.xxhash64(F.lit(seed), "shard", "doc_id", "text", "copy"))
