@@ -33,3 +33,12 @@ def none(odd):
 @pytest.fixture(scope="session")
 def documents(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.fixture(scope="package", autouse=True)
+def few_partitions(spark):
+    """Small tables in many jobs: three partitions a shuffle are enough."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
