@@ -12,7 +12,8 @@ fills. So candidates come from equal fragments, and candidates' overlaps are cou
 4. Two members of which one is not linked to the representative can only be linked if their differences from it coincide.
    Differences that only one member has cannot; what is left gives bounds on the partners a member may have, and members
    with possible partners are joined by prefixes. Their overlaps too are counted by fragment and summed.
-5. Components of the links found are exact: a link left out has both ends linked to one representative.
+   Members that links with representatives connect already do not meet.
+5. Components of the links found are exact: a link left out has its ends connected by links with representatives.
 """
 
 from __future__ import annotations
@@ -353,12 +354,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens.append(own.view(np.int64))
                 places.append(before + np.arange(len(own)))
         at = pa.array(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64))
-        names = ["x", "r", "d", "b", "e", "seeks", "gives"]
+        names = ["x", "r", "home", "d", "b", "e", "seeks", "gives"]
         yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), pa.array(np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64))], [*names, "token", "at"])
 
 
 def _member_links(spark: SparkSession, kept: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one family, at least one of which is not linked with its representative.
+    """Links (a, b) between the homes (components of the links with representatives) of members of one family that have different ones; so at least one member is not linked with the representative.
 
     x and y differ in u_x + u_y + d_x + d_y - 2c shingles: u differences from r that no other member has, d others, c of
     these in common. They are linked if that is at most (nx + ny) q / p, p = 100 + percent and q = 100 - percent. With
@@ -368,7 +369,7 @@ def _member_links(spark: SparkSession, kept: DataFrame, stats: DataFrame, percen
     """
     p, q = 100 + percent, 100 - percent
     a = q * F.col("nx") - p * (F.col("n_delta") - F.col("d"))
-    stats = stats.select("x", "r", "sizes", "d", "linked", (p * F.col("d") - a).alias("b"), (p * F.col("d") + a).alias("e"))
+    stats = stats.select("x", "r", "home", "sizes", "d", "linked", (p * F.col("d") - a).alias("b"), (p * F.col("d") + a).alias("e"))
     stats = written(spark, stats, "jaccard-differences")
     first = stats.groupBy("r").agg(F.count("*").alias("n"), F.max("e").alias("most"), F.min(F.when(~F.col("linked"), F.col("b"))).alias("least")).filter("n > 1 and least is not null")
     chosen = spread_join(stats, written(spark, first, "jaccard-families"), "r", "n", F.col("x")).filter("least is not null")
@@ -377,20 +378,21 @@ def _member_links(spark: SparkSession, kept: DataFrame, stats: DataFrame, percen
     bounds = chosen.groupBy("r").agg(F.count("*").alias("n"), F.min(F.when(F.col("seeks"), F.col("b"))).alias("seeking"), F.min(F.when(F.col("gives"), F.col("b"))).alias("giving")).filter("seeking is not null and giving is not null")
     chosen = spread_join(chosen, written(spark, bounds, "jaccard-bounds"), "r", "n", F.col("x")).filter("seeking is not null")
     take = lambda role, other: F.when(F.col(role), F.greatest(F.lit(0), F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("b") + F.col(other)) / (2 * p))))).otherwise(0).cast("int")
-    chosen = chosen.select("x", "r", "sizes", "d", "b", "e", take("seeks", "giving").alias("seeks"), take("gives", "seeking").alias("gives")).filter("seeks > 0 or gives > 0")
+    chosen = chosen.select("x", "r", "home", "sizes", "d", "b", "e", take("seeks", "giving").alias("seeks"), take("gives", "seeking").alias("gives")).filter("seeks > 0 or gives > 0")
     chosen = chosen.withColumn("take", F.greatest("seeks", "gives"))
     tokens = kept.select("x", "r", "fragment", "added", "missing").join(chosen, ["x", "r"])
-    tokens = tokens.mapInArrow(_prefixes, "x long, r long, d long, b long, e long, seeks int, gives int, token long, at long")
+    tokens = tokens.mapInArrow(_prefixes, "x long, r long, home long, d long, b long, e long, seeks int, gives int, token long, at long")
     tokens = written(spark, tokens, "jaccard-prefixes")
-    s, g = (tokens.filter(F.col("at") < F.col(role)).select(*[F.col(c).alias(f"{side}_{c}") for c in ("x", "r", "d", "b", "e", "token", "at")]) for side, role in (("s", "seeks"), ("g", "gives")))
+    s, g = (tokens.filter(F.col("at") < F.col(role)).select(*[F.col(c).alias(f"{side}_{c}") for c in ("x", "r", "home", "d", "b", "e", "token", "at")]) for side, role in (("s", "seeks"), ("g", "gives")))
     may = (F.col("s_b") <= F.col("g_e")) & (F.col("g_b") <= F.col("s_e")) & (2 * p * F.least(F.col("s_d") - F.col("s_at"), F.col("g_d") - F.col("g_at")) >= F.col("s_b") + F.col("g_b"))
-    met = s.join(g, (F.col("s_token") == F.col("g_token")) & (F.col("s_r") == F.col("g_r")) & (F.col("s_x") != F.col("g_x")) & may)
-    pairs = met.groupBy(F.least("s_x", "g_x").alias("a"), F.greatest("s_x", "g_x").alias("b")).agg(F.min(F.struct(F.col("s_r").alias("r"), (F.col("s_b") + F.col("g_b")).alias("need"))).alias("v"))
-    pairs = written(spark, pairs.select("a", "b", "v.r", "v.need"), "jaccard-member-pairs")
+    met = s.join(g, (F.col("s_token") == F.col("g_token")) & (F.col("s_r") == F.col("g_r")) & (F.col("s_home") != F.col("g_home")) & may)
+    pairs = met.groupBy(F.least("s_x", "g_x").alias("a"), F.greatest("s_x", "g_x").alias("b")).agg(F.min(F.struct(F.col("s_r").alias("r"), (F.col("s_b") + F.col("g_b")).alias("need"), F.least("s_home", "g_home").alias("one"), F.greatest("s_home", "g_home").alias("other"))).alias("v"))
+    pairs = written(spark, pairs.select("a", "b", "v.*"), "jaccard-member-pairs")
     side = lambda s: kept.select("r", "fragment", F.col("x").alias(s), F.col("added").alias(f"added_{s}"), F.col("missing").alias(f"missing_{s}"))
     both = pairs.join(side("a"), ["r", "a"]).join(side("b"), ["r", "b", "fragment"])
     common = F.size(F.array_intersect("added_a", "added_b")) + F.size(F.array_intersect("missing_a", "missing_b"))
-    return both.groupBy("a", "b").agg(F.sum(common).alias("c"), F.first("need").alias("need")).filter(2 * p * F.col("c") >= F.col("need")).select("a", "b")
+    linked = both.groupBy("a", "b", "need", "one", "other").agg(F.sum(common).alias("c")).filter(2 * p * F.col("c") >= F.col("need"))
+    return linked.select(F.col("one").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -462,8 +464,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 3, percent
     stats = kept.groupBy("x", "r").agg(*sums, F.sum(F.size("added") + F.size("missing")).alias("d"), F.collect_list(F.struct("fragment", F.size("added").alias("added"), F.size("missing").alias("missing"))).alias("sizes"))
     stats = written(spark, stats.withColumn("linked", F.col("n_delta") * (100 + percent) <= (F.col("nx") + F.col("nr")) * (100 - percent)), "jaccard-pair-sums")
 
-    links = stats.filter("linked").select(F.col("x").alias("a"), F.col("r").alias("b")).union(_member_links(spark, kept, stats, percent))
-    roots = components(spark, links)
+    # Components of the links with representatives, then of what links these: members of one component need not meet.
+    stars = written(spark, components(spark, stats.filter("linked").select(F.col("x").alias("a"), F.col("r").alias("b"))), "jaccard-stars")
+    stats = stats.join(stars, F.col("x") == F.col("v"), "left").withColumn("home", F.coalesce("root", "x")).drop("v", "root")
+    homes = written(spark, components(spark, _member_links(spark, kept, stats, percent)).select(F.col("v").alias("home"), F.col("root").alias("whole")), "jaccard-homes")
+    roots = stars.join(homes, F.col("root") == F.col("home"), "left").select("v", F.coalesce("whole", "root").alias("root"))
+    roots = roots.union(homes.join(stars, F.col("home") == F.col("v"), "left_anti").select("home", "whole"))
     root = F.coalesce(F.hex("root"), F.hex("set")).alias("root")
     member = written(spark, classes.select("set", "sid", "copies", "class_id").join(roots, F.col("sid") == F.col("v"), "left").select("set", "copies", "class_id", root), "jaccard-roots")
     smallest = written(spark, member.groupBy("root").agg(F.count("*").alias("n"), F.min("class_id").alias("component_id")), "jaccard-components")
