@@ -26,6 +26,13 @@ class Criteria(ABC):
     def of_array(self, prob: np.ndarray, members: np.ndarray, x: np.ndarray, pi: np.ndarray) -> float:
         """The same of one small design in memory: members[s, i] tells whether sample s has unit i."""
 
+    def terms(self, samples: list[list[int]], x: np.ndarray, pi: np.ndarray) -> np.ndarray | None:
+        """For criteria that are a sum over samples, less a constant: what each sample (places of its units) adds for each unit of probability. None: a search scores designs by ``of_array``, and holds the matrix of members."""
+        return None
+
+    def constant(self, x: np.ndarray) -> float:
+        return 0.0
+
 
 class VarNHT(Criteria):
     """Variance of the Narain-Horvitz-Thompson estimator of the total of x: sum of p(s) * (sum of x / pi in s)**2, less the total squared."""
@@ -40,3 +47,11 @@ class VarNHT(Criteria):
     def of_array(self, prob: np.ndarray, members: np.ndarray, x: np.ndarray, pi: np.ndarray) -> float:
         t = members @ (x / pi)
         return float((prob * t * t).sum() - x.sum() ** 2)
+
+    def terms(self, samples: list[list[int]], x: np.ndarray, pi: np.ndarray) -> np.ndarray:
+        at = np.fromiter((i for s in samples for i in s), int)
+        t = np.bincount(np.repeat(np.arange(len(samples)), [len(s) for s in samples]), (x / pi)[at], len(samples))
+        return t * t
+
+    def constant(self, x: np.ndarray) -> float:
+        return float(x.sum() ** 2)

@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,7 +19,7 @@ from fpsample.operators import population as P
 from fpsample.operators import sampling as S
 from fpsample.operators.criteria import VarNHT
 from fpsample.operators.design import Design, switch, systematic
-from fpsample.operators.search import AStar, iterate
+from fpsample.operators.search import AStar, Start, iterate
 from fpsample.plans import recipes
 from fpsample.sources import tables
 from fpsample.sources.generators import check_size, rng
@@ -116,6 +117,29 @@ def test_search_improves_and_keeps_inclusion(spark):
     assert s.run(5, 2, 10, mode="greedy") <= 5
 
 
+def test_search_of_a_large_design_holds_its_changes_only(spark):
+    u = I.proportional(spark.createDataFrame([(i, 10 + i % 7, float(i * i % 13)) for i in range(8000)], "unit_id long, size long, x double"), "size", 3)
+    s = AStar(Design(systematic(u)), VarNHT(u), switch_coefficient=1.0, seed=2)
+    tracemalloc.start()
+    s.run(6, 5, 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 << 20 and s.best_value < s.initial_value  # the matrix of members alone would take 512 MB
+    assert abs(VarNHT(u)(s.best_design(spark)).first().value - s.best_value) < 1e-6 * s.best_value
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.frozensets(st.integers(0, 8), min_size=3, max_size=3), st.integers(1, 50), min_size=1, max_size=8), st.integers(0, 99), st.booleans())
+def test_changes_follow_whole_designs(design, seed, random_pull):
+    a, b = np.random.default_rng(seed), np.random.default_rng(seed)
+    start, changes, whole = Start(design), {}, design
+    for _ in range(6):
+        changes, whole = start.iterate(changes, a, 0.7, random_pull), iterate(whole, b, 0.7, random_pull)
+        assert start.with_changes(changes) == whole
+        ranked = sorted(whole, key=lambda s: (-whole[s], sorted(s)))
+        assert start.pick(changes, range) == ranked
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.frozensets(st.integers(0, 8), min_size=3, max_size=3), st.integers(1, 1000), min_size=1, max_size=6), st.integers(0, 99), st.floats(0, 1))
 def test_iterate_in_memory_keeps_inclusion(design, seed, coefficient):
