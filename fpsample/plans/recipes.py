@@ -118,23 +118,22 @@ def overlaps(a: DataFrame, alo: str, ahi: str, b: DataFrame, blo: str, bhi: str,
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, value: str, out: str, greatest: bool = True, on: list[str] | None = None) -> DataFrame:
-    """left with the ``value`` of right's greatest key up to (or least key from) each left key: one union, one running window per bucket of keys, and the last value of the buckets before."""
+    """left with the ``value`` of right's greatest key up to (or least key from) each left key: one union, one running window per bucket of both sides' keys, and the last value of the buckets before. Keys are walked downwards for the least one, as a window that looks ahead starts anew at every row."""
     on = on or []
-    bounds = order_bounds(right, key)
     side = F.min_by if greatest else F.max_by
-    r = right.select(*on, F.col(key).alias("_k"), F.col(value).alias("_v"), F.lit(0 if greatest else 1).alias("_side"), F.lit(None).cast(left.schema[key].dataType).alias("_lk"))
-    r = r.groupBy(*on, "_k", "_side").agg(side("_v", "_v").alias("_v")).withColumn("_row", F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in left.schema) + ">"))
-    m = left.select(*on, F.col(key).alias("_k"), F.lit(1 if greatest else 0).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
-    both = r.unionByName(m).withColumn("_b", bucket_of("_k", bounds))
+    r = right.filter(F.col(key).isNotNull()).select(*on, F.col(key).alias("_k"), F.col(value).alias("_v"))
+    r = r.groupBy(*on, "_k").agg(side("_v", "_v").alias("_v")).withColumns({"_side": F.lit(0), "_row": F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in left.schema) + ">")})
+    m = left.select(*on, F.col(key).alias("_k"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
+    both = r.unionByName(m)
+    both = both.withColumn("_b", bucket_of("_k", order_bounds(both.select("_k"), "_k")))
     ends = both.filter("_row is null").groupBy(*on, "_b").agg((F.max_by if greatest else F.min_by)("_v", "_k").alias("_end"))
     slots = both.select(*on, "_b").distinct().join(ends, [*on, "_b"], "left")
-    step = Window.partitionBy(*(on or [F.lit(0)])).orderBy("_b")
-    carry = F.last("_end", True).over(step.rowsBetween(Window.unboundedPreceding, -1)) if greatest else F.first("_end", True).over(step.rowsBetween(1, Window.unboundedFollowing))
-    slots = slots.select(*on, "_b", carry.alias("_carry"))
-    inside = Window.partitionBy(*on, "_b").orderBy("_k", "_side")
-    near = F.last("_v", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)) if greatest else F.first("_v", True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    got = both.withColumn("_near", near).filter("_row is not null").join(slots, [*on, "_b"], "left")
-    return got.select("_row.*", F.coalesce("_near", "_carry").alias(out))
+    along = F.asc if greatest else F.desc
+    step = Window.partitionBy(*(on or [F.lit(0)])).orderBy(along("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*on, "_b", F.last("_end", True).over(step).alias("_carry"))
+    inside = Window.partitionBy(*on, "_b").orderBy(along("_k"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("_near", F.last("_v", True).over(inside)).filter("_row is not null").join(slots, [*on, "_b"], "left")
+    return got.select("_row.*", F.when(F.col("_k").isNotNull(), F.coalesce("_near", "_carry")).alias(out))
 
 
 def cell_neighbours(a: DataFrame, b: DataFrame, coords: list[str], radius: float, on: list[str] | None = None) -> DataFrame:

@@ -332,6 +332,19 @@ def test_two_phase_sums_and_lookups(spark, small_buckets):
         assert low[x.id] == max((k for k in keys if k <= x.k), default=None) and high[x.id] == min((k for k in keys if k >= x.k), default=None)
 
 
+@pytest.mark.parametrize("lookup", [H.floor_lookup, H.ceil_lookup])
+def test_lookups_walk_each_bucket_once(spark, small_buckets, lookup):
+    q = spark.createDataFrame([(i, k) for i, k in enumerate([None, *range(-5, 995)])], "id long, k long").repartition(4)
+    held = spark.createDataFrame([(None, -1), (0, 0), (500, 500), (990, 990)], "k long, v long")
+    got = lookup(q, held, "k", "v")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()  # such a frame is read anew for every row
+    floor = lookup is H.floor_lookup
+    for r in got.collect():
+        near = [k for k in (0, 500, 990) if r.k is not None and (k <= r.k if floor else k >= r.k)]
+        assert r[2] == (max if floor else min)(near, default=None)
+
+
 def test_containers(spark):
     df = spark.createDataFrame([(1, 10), (2, 30), (3, 20)], "k long, v long")
     assert [r.k for r in H.top(df, "v", ["k"], 2).collect()] == [2, 3] and H.extremes(df, "v").first() == (10, 30, 3)
