@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fpsample.functions import kernels as K
 from fpsample.operators.clustering import AggregateBalancedKMeans
-from fpsample.plans.recipes import cell_neighbours, cut, small
+from fpsample.plans.recipes import cell_neighbours, cut, shuffled, small
 
 #: Score of a shift by an eighth turn, and variation at the same (fixed values).
 LIMIT, VARIATION = math.sin(math.pi / 8) / math.sin(math.pi / 4), 1 - math.cos(math.pi / 8)
@@ -27,11 +27,18 @@ def scott(n: int, d: int) -> float:
 
 
 def tophat_counts(units: DataFrame, coords: list[str], radius: float, at: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
-    """Number of units nearer than radius to each row of ``at`` (the units themselves by default), itself included: (on, unit_id, cnt)."""
+    """Number of units nearer than radius to each row of ``at`` (the units themselves by default), itself included: (on, unit_id, cnt).
+
+    Units of one place are counted first and places alone meet, so copies do not multiply pairs; pairs are shuffled, as they
+    stand in nine cells each, unless a count proves the places to be few.
+    """
     on = on or []
     at = units if at is None else at
-    pairs = cell_neighbours(at.select(*on, "unit_id", *coords), units.select(*on, "unit_id", *coords), coords, radius, on)
-    return pairs.groupBy(*on, F.col("a_unit_id").alias("unit_id")).agg(F.count("*").alias("cnt"))
+    held = units.groupBy(*on, *coords).agg(F.count("*").alias("n"))
+    places = at.select(*on, *coords).distinct()
+    pairs = cell_neighbours(places, held, coords, radius, on, rows=20_000)
+    counts = pairs.groupBy(*on, *[F.col(f"a_{c}").alias(c) for c in coords]).agg(F.sum("b_n").alias("cnt"))
+    return at.select(*on, "unit_id", *coords).join(shuffled(counts), [*on, *coords]).select(*on, "unit_id", "cnt")
 
 
 def scale(score: Column) -> Column:

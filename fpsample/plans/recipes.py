@@ -136,19 +136,25 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, out: str, grea
     return got.select("_row.*", F.when(F.col("_k").isNotNull(), F.coalesce("_near", "_carry")).alias(out))
 
 
-def cell_neighbours(a: DataFrame, b: DataFrame, coords: list[str], radius: float, on: list[str] | None = None) -> DataFrame:
-    """Pairs of rows of a and b (columns prefixed a_ and b_) nearer than ``radius``: b stands in the 3**d cells around its own, an equi-join on cells, then the exact distance. For few dimensions."""
+def shuffled(df: DataFrame) -> DataFrame:
+    """df marked for a shuffled join: a plan's estimate may take what an explode or a join makes for small, and broadcast it through the driver."""
+    return df.hint("merge")
+
+
+def cell_neighbours(a: DataFrame, b: DataFrame, coords: list[str], radius: float, on: list[str] | None = None, rows: int = 0) -> DataFrame:
+    """Pairs of rows of a and b (columns prefixed a_ and b_) nearer than ``radius``: b stands in the 3**d cells around its own, an equi-join on cells, then the exact distance. For few dimensions. b is broadcast only if a count proves it to have ``rows`` rows at most."""
     on = on or []
     cells = lambda p: [F.floor(F.col(f"{p}{c}") / radius).alias(f"_c{i}") for i, c in enumerate(coords)]
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns if c not in on], *on)
     left = left.select("*", *cells("a_"))
+    few = rows and b.limit(rows + 1).count() <= rows
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on], *on)
     right = right.select("*", *cells("b_"))
     for i in range(len(coords)):
         right = right.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + s for s in (-1, 0, 1)])))
     d2 = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in coords), F.lit(0.0))
     keys = [*on, *(f"_c{i}" for i in range(len(coords)))]
-    return left.join(right, keys).withColumn("d2", d2).filter(F.col("d2") < radius * radius).drop(*(f"_c{i}" for i in range(len(coords))))
+    return left.join(F.broadcast(right) if few else shuffled(right), keys).withColumn("d2", d2).filter(F.col("d2") < radius * radius).drop(*(f"_c{i}" for i in range(len(coords))))
 
 
 def cut(df: DataFrame) -> DataFrame:

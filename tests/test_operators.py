@@ -305,6 +305,20 @@ def test_density_ranks_spread_samples_first(spark):
     assert len(got) == 2 and got[0].var_scaled < got[1].var_scaled
 
 
+def test_tophat_meets_places_not_copies(spark, monkeypatch):
+    met = []
+
+    def counted(a, b, *rest, **more):
+        met.extend([a.count(), b.count()])
+        return recipes.cell_neighbours(a, b, *rest, **more)
+
+    monkeypatch.setattr(M, "cell_neighbours", counted)
+    rows = [(i, (i * i) % 6 / 10, (i % 5) / 10) for i in range(900)]
+    got = {r.unit_id: r.cnt for r in M.tophat_counts(spark.createDataFrame(rows, "unit_id long, x double, y double"), ["x", "y"], 0.15).collect()}
+    assert got == {i: sum((x - u) ** 2 + (y - v) ** 2 < 0.15 * 0.15 for _, u, v in rows) for i, x, y in rows}
+    assert max(met) == len({r[1:] for r in rows}) < 30
+
+
 # -- recipes and containers --------------------------------------------------------------------------------------
 @pytest.fixture
 def small_buckets(monkeypatch):
