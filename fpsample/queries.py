@@ -765,8 +765,7 @@ m AS (SELECT draw_id, sum(w) AS t, sum(w * x) / sum(w) AS mx, sum(w * lag) / sum
 @query(f"WITH {_VORONOI}, {_MORAN} SELECT draw_id, round(local_balance, 6) AS local_balance, round((xy / t - mx * ml) / sqrt((xx / t - mx * mx) * (ll / t - ml * ml)), 6) AS moran FROM m JOIN l USING (draw_id)")
 def balance_scores(spark, sf_dir):
     u = _with_pi(spark, sf_dir)
-    near = B.inclusion_neighbours(u, ["x", "y"], 0.08)
-    out = B.local_balance(u, fixed_draws(spark), ["x", "y"]).join(B.moran(u, fixed_draws(spark), ["x", "y"], near), "draw_id")
+    out = B.local_balance(u, fixed_draws(spark), ["x", "y"]).join(B.moran(u, fixed_draws(spark), ["x", "y"]), "draw_id")
     return out.select("draw_id", F.round("local_balance", 6).alias("local_balance"), F.round("moran", 6).alias("moran"))
 
 

@@ -484,6 +484,24 @@ def test_neighbours_do_not_depend_on_the_first_radius(spark):
     assert len(mass) == 50 and all(abs(m + 0.08 - 1) < 1e-6 for m in mass.values())
 
 
+def test_moran_needs_no_pairs_of_units(spark, monkeypatch):
+    from fpsample.operators import balance
+
+    # a lattice: copies of places, and ties between places
+    units = spark.createDataFrame([(i, (i * 7) % 5 / 4, (i * 3) % 8 // 2 / 4, 0.03 + i % 4 / 50) for i in range(90)], "unit_id long, x double, y double, pi double")
+    samples = spark.createDataFrame([(d, s, (13 * s + 5 * d) % 90) for d in range(4) for s in range(6)], "draw_id long, slot int, unit_id long")
+    every = balance.inclusion_neighbours(units, ["x", "y"], 0.3)
+    ids = {r.unit_id for r in samples.collect()}
+    rows, near = balance.sampled_neighbours(units, samples, ["x", "y"])
+    want = {(r.i, r.j): round(r.w, 9) for r in every.collect() if r.j in ids and r.w > 1e-9}
+    assert {(r.i, r.j): round(r.w, 9) for r in near.collect() if r.w > 1e-9} == want
+    assert {r.i: round(r._w, 9) for r in rows.collect()} == {r.i: round(r.w, 9) for r in every.groupBy("i").agg(F.sum("w").alias("w")).collect()}
+    slow = {r.draw_id: r.moran for r in balance.moran(units, samples, ["x", "y"], every).collect()}
+    monkeypatch.setattr(balance, "cell_neighbours", None)
+    fast = {r.draw_id: r.moran for r in balance.moran(units, samples, ["x", "y"]).collect()}
+    assert len(fast) == 4 and all(abs(fast[d] - slow[d]) < 1e-9 for d in slow)
+
+
 def test_signatures_follow_samples_not_their_order(spark):
     units = spark.createDataFrame([(i, 5 + i % 3) for i in range(9)], "unit_id long, sz long")
     from fpsample.operators.design import Design, systematic
