@@ -182,8 +182,17 @@ def store_media(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     return written(spark, rows.mapInArrow(_stored, kinds), "media-store"), foreign
 
 
+_WHOLE = "doc_id long, n_bytes long, payload binary, media binary, feature string"
+_FACTS = "doc_id long, n_bytes long, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
 def read_media(spark: SparkSession, store: DataFrame, foreign: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload, media, feature) of every medium of the store, put together from its chunk list and verified; raises where a chunk is missing or altered."""
+    return prepare(spark) and _listed(spark, store, foreign).mapInArrow(_whole, _WHOLE)
+
+
+def _listed(spark: SparkSession, store: DataFrame, foreign: DataFrame) -> DataFrame:
+    """The store's rows with the chunks joined in, as _whole takes them."""
     needed = foreign.groupBy("digest").agg(F.count("*").alias("n"))
     held = store.select(F.explode(F.arrays_zip("chunk_list", "chunks")).alias("c")).select(F.col("c.chunk_list").alias("digest"), F.col("c.chunks").alias("bytes")).filter("bytes is not null")
     known = written(spark, held.join(sized_broadcast(needed, MOST_BROADCAST), "digest").dropDuplicates(["digest"]), "shared-chunk-bytes")
@@ -193,7 +202,7 @@ def read_media(spark: SparkSession, store: DataFrame, foreign: DataFrame) -> Dat
     cols = ["doc_id", "n_bytes", "media_digest", "media_bytes", "chunk_list", "chunks", "ats", "joined"]
     alone = store.filter(~away).withColumns({"ats": F.lit(None).cast("array<int>"), "joined": F.lit(None).cast("array<binary>")}).select(cols)
     joined = store.filter(away).join(lists, "media_id", "left").select(cols)
-    return prepare(spark) and alone.unionByName(joined).mapInArrow(_whole, "doc_id long, n_bytes long, payload binary, media binary, feature string")
+    return alone.unionByName(joined)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,5 +221,5 @@ def media_facts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Null text is empty and makes 64 zero samples. Equal texts have equal values. Null ids and repeated rows are kept as
     they are; columns besides doc_id and text are not carried; an empty table gives an empty result.
     """
-    whole = read_media(spark, *store_media(spark, docs))
-    return whole.mapInArrow(_facts, "doc_id long, n_bytes long, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+    # one pass of Python: whole media do not go back to the JVM, nor to a second worker
+    return prepare(spark) and _listed(spark, *store_media(spark, docs)).mapInArrow(lambda batches: _facts(_whole(batches)), _FACTS)
