@@ -43,9 +43,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fpsample.llm.sentencepieces import decode_ids, encode_texts
+    from fpsample.llm.sentencepieces import encode_and_decode
 
-    out = decode_ids(spark, encode_texts(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    out = encode_and_decode(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -92,6 +92,29 @@ class ChunkTable:
         return self.ids[at], ends
 
 
+def _encoder(model: str):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ChunkTable(load(model))
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids, ends = held.encode([t or "" for t in part.column("text").to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "_ids"])
+
+    return encode
+
+
+def _decoder(model: str, column: str):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        processor = load(model)
+        for b in batches:
+            texts = [processor.decode(x.tolist()) if len(x := i.values.to_numpy(zero_copy_only=False) if i.is_valid else ()) else "" for i in b.column(column)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "_decoded"])
+
+    return decode
+
+
 def encode_texts(spark: SparkSession, docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with ``ids``, the ids that the library's encode gives for the whole text, without begin or end ids and sampling.
 
@@ -103,17 +126,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, model: str | None = None)
     if not pieces_stay_in_chunks(load(model)):
         raise ValueError(f"{model}: its pieces or its normalisation cross white-space markers")
     body, names = boxed(docs, ("ids",))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = ChunkTable(load(model))
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, ends = held.encode([t or "" for t in part.column("text").to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "_ids"])
-
-    out = prepare(spark) and body.mapInArrow(encode, T.StructType([*body.schema, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
+    out = prepare(spark) and body.mapInArrow(_encoder(model), T.StructType([*body.schema, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
     return unboxed(out, names, {"ids": F.col("_ids")})
 
 
@@ -122,12 +135,23 @@ def decode_ids(spark: SparkSession, docs: DataFrame, model: str | None = None) -
     model = model or default_model()
     body, names = boxed(docs, ("decoded",))
     at = names.index("ids")
+    out = prepare(spark) and body.mapInArrow(_decoder(model, f"_{at}"), T.StructType([*body.schema, T.StructField("_decoded", T.StringType())]))
+    return unboxed(out, names, {"decoded": F.col("_decoded")})
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = load(model)
-        for b in batches:
-            texts = [processor.decode(x.tolist()) if len(x := i.values.to_numpy(zero_copy_only=False) if i.is_valid else ()) else "" for i in b.column(f"_{at}")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "_decoded"])
 
-    out = prepare(spark) and body.mapInArrow(decode, T.StructType([*body.schema, T.StructField("_decoded", T.StringType())]))
-    return unboxed(out, names, {"decoded": F.col("_decoded")})
+def encode_and_decode(spark: SparkSession, docs: DataFrame, model: str | None = None) -> DataFrame:
+    """docs without ``text``, with the ``ids`` of encode_texts and the ``decoded`` of decode_ids, in one pass: a task needs one worker, and ids and texts do not go back to the JVM between the two."""
+    model = model or default_model()
+    if not pieces_stay_in_chunks(load(model)):
+        raise ValueError(f"{model}: its pieces or its normalisation cross white-space markers")
+    body, names = boxed(docs, ("ids", "decoded"))
+    encode, decode = _encoder(model), _decoder(model, "_ids")
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in decode(encode(batches)):
+            yield b.drop_columns(["text"])
+
+    kinds = [*(f for f in body.schema if f.name != "text"), T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_decoded", T.StringType())]
+    out = prepare(spark) and body.mapInArrow(both, T.StructType(kinds))
+    own = [F.col("doc_id" if c == "doc_id" else f"_{i}").alias(c) for i, c in enumerate(names) if c != "text"]
+    return out.select(*own, F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"))

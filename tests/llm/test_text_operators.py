@@ -5,12 +5,13 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from fpsample.llm import pii
 from fpsample.llm.language import document_evidence, identify, page_evidence
 from fpsample.llm.license_scan import scan_licenses
 from fpsample.llm.line_dedup import dedup_lines
-from fpsample.llm.sentencepieces import chunks, decode_ids, default_model, encode_texts, load
+from fpsample.llm.sentencepieces import chunks, decode_ids, default_model, encode_and_decode, encode_texts, load
 from tests.llm.conftest import TEXTS
 
 
@@ -154,6 +155,15 @@ def test_encode_and_decode_as_the_library(spark, documents, odd, none):
     assert encode_texts(spark, none).count() == 0
 
 
+def test_encode_and_decode_in_one_pass(spark, odd, none):
+    df = odd.withColumn("ids", F.lit("clash"))
+    want = decode_ids(spark, encode_texts(spark, df)).drop("text")
+    got = encode_and_decode(spark, df)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(got.columns) == sorted(want.columns) and sorted(map(repr, got.select([f"`{c}`" for c in want.columns]).collect())) == sorted(map(repr, want.collect()))
+    assert encode_and_decode(spark, none).count() == 0
+
+
 def test_chunks_alone_give_the_ids_of_the_text():
     sp = load(default_model())
     rng = random.Random(2)
