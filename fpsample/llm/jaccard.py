@@ -11,7 +11,8 @@ fills. So candidates come from equal fragments, and candidates' overlaps are cou
    member is compared with it, not with every other one: partial overlaps by fragment, summed per pair.
 4. Two members of which one is not linked to the representative can only be linked if their differences from it coincide.
    Differences that only one member has cannot; what is left gives bounds on the partners a member may have, and members
-   with possible partners are joined by prefixes. Their overlaps too are counted by fragment and summed.
+   with possible partners are joined by prefixes, rare differences first, as those that most of a family have in common tell
+   nothing. Parity bits of the differences bound what two members share. Overlaps too are counted by fragment and summed.
    Members that links with representatives connect already do not meet.
 5. Components of the links found are exact: a link left out has its ends connected by links with representatives.
 """
@@ -39,6 +40,10 @@ BAND, SPARE = 1.5, 2
 GATHERED, BUCKET = 1 << 21, 1 << 21
 #: Bits of a map of tokens, 32 MB at most, and of one block of it.
 MOST_BITS, BLOCK_BITS = 28, 20
+#: Bits of the slots of a table of counts, 32 MB at most.
+MOST_SLOTS = 25
+#: Longs of parity bits of a member's differences.
+PARITY = 4
 
 
 class Shingler:
@@ -240,6 +245,66 @@ def repeated_tokens(spark: SparkSession, df: DataFrame, tokens: Tokens, total: i
     return BitMap(spark, written(spark, packed.mapInArrow(_repeated, "token long"), "jaccard-repeated"), buckets + 32)
 
 
+def _slot_counts(tokens: Tokens, bits: int):
+    """How many of a task's tokens fall into each slot: by block, the slots and their counts."""
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        slots, n = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
+        block = slots >> np.uint64(BLOCK_BITS)
+        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        low = (slots & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
+        lists = [[x.tobytes() for x in np.split(v, cut[1:])] for v in (low, n.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int32)), *(pa.array(v, pa.binary()) for v in lists)], ["block", "slots", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            held.append(tokens(b))
+            size += len(held[-1])
+            if size > GATHERED:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    return run
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block eight times the logarithms of its slots' counts, a byte each; blocks come one after the other."""
+
+    def out(block: int, counts: np.ndarray) -> pa.RecordBatch:
+        ranks = np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], ["block", "ranks"])
+
+    now, counts = None, np.empty(0, np.int64)
+    for b in batches:
+        for block, slots, n in zip(*(b.column(c).to_pylist() for c in ("block", "slots", "counts")), strict=True):
+            if block != now:
+                if now is not None:
+                    yield out(now, counts)
+                now, counts = block, np.zeros(1 << BLOCK_BITS, np.int64)
+            counts[np.frombuffer(slots, np.uint32)] += np.frombuffer(n, np.uint32)
+    if now is not None:
+        yield out(now, counts)
+
+
+class Rarity:
+    """Ranks of the tokens of df's batches, the rarer the lower, in every task: a table of at most 2**MOST_SLOTS slots, a byte each. Tokens that share a slot are counted together and have one rank: any order that all tasks have in common is right, only less selective. ``total``: how many tokens there are, about."""
+
+    def __init__(self, spark: SparkSession, df: DataFrame, tokens: Tokens, total: int):
+        self.bits = min(MOST_SLOTS, max(BLOCK_BITS, (2 * total).bit_length()))
+        counted = df.mapInArrow(_slot_counts(tokens, self.bits), "block int, slots binary, counts binary").repartition("block").sortWithinPartitions("block")
+        table = np.zeros(1 << self.bits, np.uint8)
+        for r in counted.mapInArrow(_ranks, "block int, ranks binary").collect():
+            table[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(r.ranks, np.uint8)
+        self.sent = spark.sparkContext.broadcast(table)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.sent.value[(tokens >> np.uint64(64 - self.bits)).astype(np.int64)]
+
+
 # -- candidates -----------------------------------------------------------------------------------------
 def _all_signatures(width: int, bands: Bands) -> Tokens:
     return lambda b: np.concatenate([np.empty(0, np.uint64), *(signatures(h, bands) for h in shingle_hashes(b.column("text"), width))])
@@ -337,25 +402,38 @@ def _only_repeated(known: BitMap):
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of a row that are among the first of its pair: what is added comes before what is missing, each by fragment, then by token."""
-    for b in batches:
-        fixed = [b.column(c).to_numpy(zero_copy_only=False) for c in ("fragment", "take")]
-        sizes = [sorted((s["fragment"], s["added"], s["missing"]) for s in x) for x in b.column("sizes").to_pylist()]
-        rows, tokens, places = [], [], []
-        for kind, name in enumerate(("added", "missing")):
-            found, _, owner = _difference_tokens(b, name)
-            cut = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            for i in range(b.num_rows):
-                fragment, take = int(fixed[0][i]), int(fixed[1][i])
-                before = sum(s[1] for s in sizes[i]) * kind + sum(s[1 + kind] for s in sizes[i] if s[0] < fragment)
-                own = np.sort(found[cut[i] : cut[i + 1]])[: max(0, take - before)]
-                rows.append(np.full(len(own), i))
-                tokens.append(own.view(np.int64))
-                places.append(before + np.arange(len(own)))
-        at = pa.array(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64))
-        names = ["x", "r", "home", "d", "b", "e", "seeks", "gives"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), pa.array(np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64))], [*names, "token", "at"])
+def _own_tokens(b: pa.RecordBatch) -> np.ndarray:
+    return _difference_tokens(b, "own")[0]
+
+
+def _prefixes(rarity: Rarity):
+    """The first ``take`` tokens of each pair's ``own`` shingles, the rarest first, and parity bits of all of them: p0, p1... hold, for each of 64 * PARITY classes of tokens, whether their number is odd."""
+    fixed = ["x", "r", "home", "d", "b", "e", "seeks", "gives"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, _, rows = _difference_tokens(b, "own")
+            parity = np.zeros((b.num_rows, PARITY), np.uint64)
+            np.bitwise_xor.at(parity, (rows, ((tokens >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (tokens & np.uint64(63)))
+            order = np.lexsort((tokens, rarity.of(tokens), rows))
+            tokens, rows = tokens[order], rows[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(b.num_rows))[rows]
+            first = place < b.column("take").to_numpy(zero_copy_only=False)[rows]
+            at = pa.array(rows[first])
+            bits = [pa.array(parity[rows[first], i].view(np.int64)) for i in range(PARITY)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in fixed), pa.array(tokens[first].view(np.int64)), pa.array(place[first].astype(np.int64)), *bits], [*fixed, "token", "at", *(f"p{i}" for i in range(PARITY))])
+
+    return run
+
+
+def _meetings(tokens: DataFrame, p: int) -> DataFrame:
+    """Pairs of a seeker (s) and a giver (g) of different homes that meet in a token of a family, as long as what is left of either from there on and the parity bits let them be linked: tokens of an odd class of one alone are not in common, so 2 c <= d_x + d_y - odd."""
+    names = ["x", "r", "home", "d", "b", "e", "token", "at", *(f"p{i}" for i in range(PARITY))]
+    s, g = (tokens.filter(F.col("at") < F.col(role)).select(*[F.col(c).alias(f"{side}_{c}") for c in names]) for side, role in (("s", "seeks"), ("g", "gives")))
+    need = F.col("s_b") + F.col("g_b")
+    odd = sum((F.bit_count(F.col(f"s_p{i}").bitwiseXOR(F.col(f"g_p{i}"))) for i in range(PARITY)), F.lit(0))
+    may = (F.col("s_b") <= F.col("g_e")) & (F.col("g_b") <= F.col("s_e")) & (2 * p * F.least(F.col("s_d") - F.col("s_at"), F.col("g_d") - F.col("g_at")) >= need) & (p * (F.col("s_d") + F.col("g_d") - odd) >= need)
+    return s.join(g, (F.col("s_token") == F.col("g_token")) & (F.col("s_r") == F.col("g_r")) & (F.col("s_home") != F.col("g_home")) & may)
 
 
 def _member_links(spark: SparkSession, kept: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
@@ -365,11 +443,12 @@ def _member_links(spark: SparkSession, kept: DataFrame, stats: DataFrame, percen
     these in common. They are linked if that is at most (nx + ny) q / p, p = 100 + percent and q = 100 - percent. With
     a = q n - p u, b = p d - a and e = p d + a: if 2 p c >= b_x + b_y, where c is d_x or d_y at most, so b_x <= e_y and
     b_y <= e_x. And x is not linked with r if b_x > q nr; then c has to be 1 at least. Seekers are not linked with r and may
-    have a partner by these bounds, givers may be one. Either gives out as many tokens as let it share one with any partner.
+    have a partner by these bounds, givers may be one. Either gives out as many tokens as let it share one with any partner,
+    the rarest of those that the searching members have.
     """
     p, q = 100 + percent, 100 - percent
     a = q * F.col("nx") - p * (F.col("n_delta") - F.col("d"))
-    stats = stats.select("x", "r", "home", "sizes", "d", "linked", (p * F.col("d") - a).alias("b"), (p * F.col("d") + a).alias("e"))
+    stats = stats.select("x", "r", "home", "d", "linked", (p * F.col("d") - a).alias("b"), (p * F.col("d") + a).alias("e"))
     stats = written(spark, stats, "jaccard-differences")
     first = stats.groupBy("r").agg(F.count("*").alias("n"), F.max("e").alias("most"), F.min(F.when(~F.col("linked"), F.col("b"))).alias("least")).filter("n > 1 and least is not null")
     chosen = spread_join(stats, written(spark, first, "jaccard-families"), "r", "n", F.col("x")).filter("least is not null")
@@ -378,14 +457,15 @@ def _member_links(spark: SparkSession, kept: DataFrame, stats: DataFrame, percen
     bounds = chosen.groupBy("r").agg(F.count("*").alias("n"), F.min(F.when(F.col("seeks"), F.col("b"))).alias("seeking"), F.min(F.when(F.col("gives"), F.col("b"))).alias("giving")).filter("seeking is not null and giving is not null")
     chosen = spread_join(chosen, written(spark, bounds, "jaccard-bounds"), "r", "n", F.col("x")).filter("seeking is not null")
     take = lambda role, other: F.when(F.col(role), F.greatest(F.lit(0), F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("b") + F.col(other)) / (2 * p))))).otherwise(0).cast("int")
-    chosen = chosen.select("x", "r", "home", "sizes", "d", "b", "e", take("seeks", "giving").alias("seeks"), take("gives", "seeking").alias("gives")).filter("seeks > 0 or gives > 0")
+    chosen = chosen.select("x", "r", "home", "d", "b", "e", take("seeks", "giving").alias("seeks"), take("gives", "seeking").alias("gives")).filter("seeks > 0 or gives > 0")
     chosen = chosen.withColumn("take", F.greatest("seeks", "gives"))
-    tokens = kept.select("x", "r", "fragment", "added", "missing").join(chosen, ["x", "r"])
-    tokens = tokens.mapInArrow(_prefixes, "x long, r long, home long, d long, b long, e long, seeks int, gives int, token long, at long")
-    tokens = written(spark, tokens, "jaccard-prefixes")
-    s, g = (tokens.filter(F.col("at") < F.col(role)).select(*[F.col(c).alias(f"{side}_{c}") for c in ("x", "r", "home", "d", "b", "e", "token", "at")]) for side, role in (("s", "seeks"), ("g", "gives")))
-    may = (F.col("s_b") <= F.col("g_e")) & (F.col("g_b") <= F.col("s_e")) & (2 * p * F.least(F.col("s_d") - F.col("s_at"), F.col("g_d") - F.col("g_at")) >= F.col("s_b") + F.col("g_b"))
-    met = s.join(g, (F.col("s_token") == F.col("g_token")) & (F.col("s_r") == F.col("g_r")) & (F.col("s_home") != F.col("g_home")) & may)
+    chosen = written(spark, chosen, "jaccard-seekers")
+    own = kept.select("x", "r", F.concat("added", "missing").alias("own")).join(chosen, ["x", "r"]).groupBy(*chosen.columns).agg(F.flatten(F.collect_list("own")).alias("own"))
+    own = written(spark, own, "jaccard-searched-differences")
+    rarity = Rarity(spark, own, _own_tokens, chosen.agg(F.sum("d")).first()[0] or 0)
+    bits = "".join(f", p{i} long" for i in range(PARITY))
+    tokens = own.mapInArrow(_prefixes(rarity), "x long, r long, home long, d long, b long, e long, seeks int, gives int, token long, at long" + bits)
+    met = _meetings(written(spark, tokens, "jaccard-prefixes"), p)
     pairs = met.groupBy(F.least("s_x", "g_x").alias("a"), F.greatest("s_x", "g_x").alias("b")).agg(F.min(F.struct(F.col("s_r").alias("r"), (F.col("s_b") + F.col("g_b")).alias("need"), F.least("s_home", "g_home").alias("one"), F.greatest("s_home", "g_home").alias("other"))).alias("v"))
     pairs = written(spark, pairs.select("a", "b", "v.*"), "jaccard-member-pairs")
     side = lambda s: kept.select("r", "fragment", F.col("x").alias(s), F.col("added").alias(f"added_{s}"), F.col("missing").alias(f"missing_{s}"))
@@ -461,7 +541,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 3, percent
     size = partial.agg(F.sum(F.size("added") + F.size("missing"))).first()[0] or 0
     kept = written(spark, partial.mapInArrow(_only_repeated(repeated_tokens(spark, partial, _both_tokens, size)), "x long, r long, fragment int, nx int, nr int, n_delta long, added array<long>, missing array<long>"), "jaccard-common-differences")
     sums = [F.sum(c).alias(c) for c in ("nx", "nr", "n_delta")]
-    stats = kept.groupBy("x", "r").agg(*sums, F.sum(F.size("added") + F.size("missing")).alias("d"), F.collect_list(F.struct("fragment", F.size("added").alias("added"), F.size("missing").alias("missing"))).alias("sizes"))
+    stats = kept.groupBy("x", "r").agg(*sums, F.sum(F.size("added") + F.size("missing")).alias("d"))
     stats = written(spark, stats.withColumn("linked", F.col("n_delta") * (100 + percent) <= (F.col("nx") + F.col("nr")) * (100 - percent)), "jaccard-pair-sums")
 
     # Components of the links with representatives, then of what links these: members of one component need not meet.

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -7,10 +8,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from fpsample.llm import media, warc
+from fpsample.llm import jaccard, media, warc
+from fpsample.llm.common import written
 from fpsample.llm.fingerprints import _forms, canonical, collided, collisions, compare_neighbours, fingerprint_documents
 from fpsample.llm.jaccard import Bands, Shingler, components, signatures, similar_groups
 from fpsample.llm.mixing import mix_sources, mixed_rows, split_quotas, targets
+from fpsample.llm.shingles import mix
 
 
 # -- archives ------------------------------------------------------------------------------------------
@@ -227,6 +230,55 @@ def test_groups_as_brute_force(spark, seed, width, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows, width, percent)
 
 
+def test_members_meet_in_what_few_have_in_common(spark, monkeypatch):
+    """Copies of one text with some edits each, most of them too many for a link: all share what makes their representative differ."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(140)]
+    rows = [(i, " ".join(edited(base, rng, rng.randrange(2, 6)))) for i in range(300)]
+    made = Counter()
+
+    def counted(spark, df, name):
+        out = written(spark, df, name)
+        made[name] += out.count() if name == "jaccard-member-pairs" else 0
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    got = similar_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows, 5, 80)
+    assert made["jaccard-member-pairs"] <= len(rows)
+
+
+def test_ranks_follow_counts(spark):
+    """Ranks rise with the counts of tokens, wherever their rows are; the parity bits never rule out what two members share."""
+    tokens = mix(np.arange(1, 9, dtype=np.uint64))
+    rows = [(int(t),) for i, t in enumerate(tokens.view(np.int64)) for _ in range(4**i)]
+    df = spark.createDataFrame(rows, "token long").repartition(5)
+    read = lambda b: b.column("token").to_numpy(zero_copy_only=False).view(np.uint64)
+    ranks = jaccard.Rarity(spark, df, read, len(rows)).of(tokens).tolist()
+    assert ranks == [min(255, round(8 * math.log2(1 + 4**i))) for i in range(8)]
+
+    rng = random.Random(3)
+    every = list(range(1, 200))
+    own = {x: rng.sample(every, rng.randrange(20, 120)) for x in range(6)}
+    pairs = spark.createDataFrame([(x, 1, x, len(o), 0, 0, 500, 500, 500, o) for x, o in own.items()], "x long, r long, home long, d long, b long, e long, seeks int, gives int, take int, own array<long>")
+    names = "x long, r long, home long, d long, b long, e long, seeks int, gives int, token long, at long, p0 long, p1 long, p2 long, p3 long"
+    rarity = jaccard.Rarity(spark, pairs, jaccard._own_tokens, 600)
+    found = defaultdict(list)
+    bits = {}
+    for r in pairs.mapInArrow(jaccard._prefixes(rarity), names).collect():
+        found[r.x].append((r.at, r.token))
+        bits[r.x] = [r[f"p{i}"] % (1 << 64) for i in range(4)]
+    for x, held in found.items():
+        assert len({t for _, t in held}) == len(own[x]) and [a for a, _ in sorted(held)] == list(range(len(held)))
+        names_of = [t % (1 << 64) for _, t in sorted(held)]
+        ranked = list(zip(rarity.of(np.array(names_of, np.uint64)).tolist(), names_of, strict=True))
+        assert ranked == sorted(ranked)
+    for x in own:
+        for y in own:
+            odd = sum((a ^ b).bit_count() for a, b in zip(bits[x], bits[y], strict=True))
+            assert odd <= len(set(own[x]) ^ set(own[y]))
+
+
 def test_groups_of_documents_and_odd_rows(spark, documents, odd, none):
     long = " ".join(f"w{i % 7919}-{i % 104729}" for i in range(120_000))
     very = spark.createDataFrame([(700, long), (701, long + " and more"), (702, long[: len(long) // 2])], "doc_id long, text string")
